@@ -16,8 +16,11 @@ decoder runs all of them as lanes of one array.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -148,31 +151,85 @@ def read_block(raw: bytes, table: tuple[np.ndarray, np.ndarray]) -> Iterator[tup
 
 
 # text to ids
+#: Texts of these characters are cut by the tokenizer into runs of letters and runs of marks, lower-cased.
+_SAFE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ .,;:!?%&*$#\n]*")
+_KEYS = re.compile(r"[a-zß-öø-ÿ]+|[.,;:!?%&*$#]+")
+
+
+def keys(text: str | None) -> list[str]:
+    """A text as keys that are encoded independently of each other.
+
+    The tokenizer cuts at white space and normalizes no character across it. Runs between spaces and
+    line ends of plain letters and marks are cut further, as the tokenizer does; others (with
+    apostrophes, digits, special strings, any other character) stay whole, marked by a zero.
+    """
+    text = text or ""
+    if _SAFE.fullmatch(text):
+        return _KEYS.findall(text.lower())
+    out = []
+    for run in text.replace("\n", " ").split(" "):
+        if _SAFE.fullmatch(run):
+            out += _KEYS.findall(run.lower())
+        else:
+            out.append("\0" + run)
+    return out
+
+
 class Words(dict):
-    """Ids of a run of text between spaces and line ends, as little-endian u32 bytes.
+    """Ids of keys as little-endian u32 bytes; up to LIMIT keys are kept.
 
-    The tokenizer cuts at white space and normalizes no character across it, so a text's ids are
-    those of its runs in order. Up to a fixed number of runs is remembered.
+    Unknown words of a batch are encoded in one call as a text of their own, and cut where an id
+    marks a word's end.
     """
 
-    LIMIT = 200_000
+    LIMIT, CALL = 800_000, 5_000
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, run: str) -> bytes:
-        out = np.array(self.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(run) <= 64:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[run] = out
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of unknown keys; kept if there is room."""
+        found, out = sorted(k for k in missing if k.isalpha()), {}
+        for at in range(0, len(found), self.CALL):
+            part = found[at : at + self.CALL]
+            ids = self._encode(" ".join(part))
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(part):
+                raw, stops = ids.tobytes(), (4 * stop).tolist()
+                out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
+            else:
+                out.update((w, self._encode(w).tobytes()) for w in part)
+        out.update((k, self._encode(k.removeprefix("\0")).tobytes()) for k in missing if not k.isalpha())
+        if len(self) < self.LIMIT:
+            self.update((k, v) for k, v in out.items() if len(k) <= 64)
         return out
 
-    def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text."""
+        cut = [keys(t) for t in texts]
+        missing = set().union(*cut).difference(self)
+        new = self.learn(missing) if missing else {}
+        if all(k in self for k in new):
+            return [b"".join(map(self.__getitem__, ks)) for ks in cut]
+        return [b"".join([self[k] if k in self else new[k] for k in ks]) for ks in cut]
+
+    def count(self, seen: Counter, total: np.ndarray) -> None:
+        """Add the ids of counted keys."""
+        new = self.learn({k for k in seen if k not in self})
+        parts = [self[k] if k in self else new[k] for k in seen]
+        times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x) // 4 for x in parts])
+        total += np.bincount(np.frombuffer(b"".join(parts), "<u4"), times, len(total)).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -195,18 +252,17 @@ def count_ids(docs: DataFrame, path: str, end: int, vocab: int) -> np.ndarray:
     """How often each id occurs, end ids included; tasks send one count per id they saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total = words(path), np.zeros(vocab, np.int64)
+        w, total, seen = words(path), np.zeros(vocab, np.int64), Counter()
         for b in batches:
-            held = []
             for t in b.column("text"):
-                held.append(w.ids(t.as_py()))
-                if len(held) >= 256:
-                    total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=vocab)
-                    held = []
-            total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=vocab)
+                seen.update(keys(t.as_py()))
+                if len(seen) > 200_000:
+                    w.count(seen, total)
+                    seen.clear()
             total[end] += b.num_rows
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+        w.count(seen, total)
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
 
     out = np.zeros(vocab, np.int64)
     for r in docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
@@ -238,14 +294,16 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> tuple[D
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([raw], pa.binary())], ["shard", "block", "first", "ids", "payload"])
 
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                ids = np.frombuffer(w.ids(t.as_py()) + stop, "<u4")
-                docs_in.append(d)
-                parts.append(ids)
-                held += len(ids)
-                if held >= BLOCK_IDS:
-                    yield out()
-                    block, first, held, docs_in, parts = block + 1, first + held, 0, [], []
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                for d, raw in zip(part.column("doc_id").to_pylist(), w.batch(part.column("text").to_pylist()), strict=True):
+                    ids = np.frombuffer(raw + stop, "<u4")
+                    docs_in.append(d)
+                    parts.append(ids)
+                    held += len(ids)
+                    if held >= BLOCK_IDS:
+                        yield out()
+                        block, first, held, docs_in, parts = block + 1, first + held, 0, [], []
         if docs_in:
             yield out()
 
