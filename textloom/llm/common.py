@@ -37,9 +37,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
         path, schema = self.path(name), df.schema
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         self.paths[id(out)] = (path, out)
         return out

@@ -1,7 +1,7 @@
 """Token-id output: canonical length-limited Huffman blocks with bit-offset checkpoints.
 
-Ids are counted over the whole corpus (per task, then summed), which gives one canonical code of at
-most ``LIMIT`` bits. Documents are range-partitioned and sorted by id; each partition is a shard of
+Texts are tokenized once into a table of ids. Ids are counted over the whole corpus (per task, then
+summed), which gives one canonical code of at most ``LIMIT`` bits. Documents are range-partitioned and sorted by id; each partition is a shard of
 blocks. A block decodes alone:
 
     header  "THB1", documents n, ids m, checkpoints c, payload bytes p (little-endian u32, u64 x2, u32, u64)
@@ -20,7 +20,6 @@ import os
 import re
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -224,13 +223,6 @@ class Words(dict):
             return [b"".join(map(self.__getitem__, ks)) for ks in cut]
         return [b"".join([self[k] if k in self else new[k] for k in ks]) for ks in cut]
 
-    def count(self, seen: Counter, total: np.ndarray) -> None:
-        """Add the ids of counted keys."""
-        new = self.learn({k for k in seen if k not in self})
-        parts = [self[k] if k in self else new[k] for k in seen]
-        times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x) // 4 for x in parts])
-        total += np.bincount(np.frombuffer(b"".join(parts), "<u4"), times, len(total)).astype(np.int64)
-
 
 @lru_cache(maxsize=2)
 def words(path: str) -> Words:
@@ -240,32 +232,47 @@ def words(path: str) -> Words:
 @dataclass
 class Codec:
     lengths: np.ndarray
-    end: int
-    path: str
     code: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.code = codes(self.lengths)
 
 
-def count_ids(docs: DataFrame, path: str, end: int, vocab: int) -> np.ndarray:
-    """How often each id occurs, end ids included; tasks send one count per id they saw."""
+def tokenize(docs: DataFrame, path: str, vocab: int) -> DataFrame:
+    """(doc_id, tie, ids): each text's ids as bytes, two for an id where the vocabulary allows it."""
+    kind = "<u2" if vocab <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, total, seen = words(path), np.zeros(vocab, np.int64), Counter()
+        w = words(path)
         for b in batches:
-            for t in b.column("text"):
-                seen.update(keys(t.as_py()))
-                if len(seen) > 200_000:
-                    w.count(seen, total)
-                    seen.clear()
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in w.batch(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, ids binary")
+
+
+def count_ids(ids: DataFrame, end: int, vocab: int) -> np.ndarray:
+    """How often each id occurs, an end id for each row included; tasks send one count per id they saw."""
+    kind = "<u2" if vocab <= 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocab, np.int64)
+        for b in batches:
+            for raw in b.column("ids"):
+                x = np.frombuffer(raw.as_py(), kind)
+                if len(x) > 1 << 14:
+                    total += np.bincount(x, minlength=vocab)
+                else:
+                    at, n = np.unique(x, return_counts=True)
+                    total[at] += n
             total[end] += b.num_rows
-        w.count(seen, total)
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
     out = np.zeros(vocab, np.int64)
-    for r in docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -279,14 +286,16 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> tuple[D
     from tokenizers import Tokenizer
 
     vocab = Tokenizer.from_file(path).get_vocab_size()
-    codec = Codec(code_lengths(count_ids(docs, path, end, vocab)), end, path)
+    kind = "<u2" if vocab <= 1 << 16 else "<u4"
+    table = scratch.save(tokenize(docs, path, vocab), "ids", compression="zstd")
+    codec = Codec(code_lengths(count_ids(table, end, vocab)))
     spark = docs.sparkSession
     code_table = scratch.save(spark.createDataFrame([(codec.lengths.tobytes(), LIMIT)], "lengths binary, limit int"), "code")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, w, stop = TaskContext.get().partitionId(), words(path), np.array([end], "<u4").tobytes()
+        shard, stop = TaskContext.get().partitionId(), np.array([end], kind).tobytes()
         block, first, held, docs_in, parts = 0, 0, 0, [], []
 
         def out() -> pa.RecordBatch:
@@ -294,22 +303,22 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> tuple[D
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([raw], pa.binary())], ["shard", "block", "first", "ids", "payload"])
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for d, raw in zip(part.column("doc_id").to_pylist(), w.batch(part.column("text").to_pylist()), strict=True):
-                    ids = np.frombuffer(raw + stop, "<u4")
-                    docs_in.append(d)
-                    parts.append(ids)
-                    held += len(ids)
-                    if held >= BLOCK_IDS:
-                        yield out()
-                        block, first, held, docs_in, parts = block + 1, first + held, 0, [], []
+            for d, raw in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
+                ids = np.frombuffer(raw.as_py() + stop, kind)
+                docs_in.append(d)
+                parts.append(ids)
+                held += len(ids)
+                if held >= BLOCK_IDS:
+                    yield out()
+                    block, first, held, docs_in, parts = block + 1, first + held, 0, [], []
         if docs_in:
             yield out()
 
-    dealt = docs.select("doc_id", "text").withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt = table.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     blocks = dealt.drop("tie").mapInArrow(run, "shard int, block int, first long, ids long, payload binary")
-    return scratch.save(blocks, "blocks"), code_table
+    out = scratch.save(blocks, "blocks")
+    scratch.drop(table)
+    return out, code_table
 
 
 def read(blocks: DataFrame, code_table: DataFrame) -> DataFrame:
