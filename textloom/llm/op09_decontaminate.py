@@ -52,21 +52,26 @@ class _Ids(dict):
         return out
 
 
-def _seeds(ids: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, hashes) of the windows whose counted positions all hold test-item words."""
+def _pairs(ids: np.ndarray, mask: int) -> np.ndarray:
+    """A 20-bit code of the first two counted positions of every window."""
     o = _OFFSETS[mask]
-    n = len(ids) - int(o[-1])
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    known = ids > 0
-    ok = known[:n].copy()
-    for k in o[1:]:
-        ok &= known[k : k + n]
-    at = np.flatnonzero(ok)
+    n = max(0, len(ids) - int(o[-1]))
+    return ((ids[:n] * 40503) ^ ids[int(o[1]) : int(o[1]) + n]) & 0xFFFFF
+
+
+def _seeds(ids: np.ndarray, mask: int, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the windows whose counted positions all hold test-item words.
+
+    ``pairs`` marks the codes of the test items' windows; other windows can't match and are left out.
+    """
+    at = np.flatnonzero(pairs[_pairs(ids, mask)]) if pairs is not None else np.arange(max(0, len(ids) - int(_OFFSETS[mask][-1])))
     h = np.full(len(at), mask + 1, np.uint64)
-    for j, k in enumerate(o):
-        h = (h + ids[at + k].astype(np.uint64)) * _FACTORS[j]
+    for j, k in enumerate(_OFFSETS[mask]):
+        word = ids[at + k]
+        h = (h + word.astype(np.uint64)) * _FACTORS[j]
         h ^= h >> np.uint64(29)
+        if not word.all():
+            at, h = at[word > 0], h[word > 0]
     return at, h
 
 
@@ -90,6 +95,10 @@ class Index:
         self.hash, self.item, self.start = h[order], i[order], s[order]
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.pairs = np.zeros((len(MASKS), 1 << 20), bool)
+        for m in range(len(MASKS)):
+            for ids in self.ids:
+                self.pairs[m][_pairs(ids, m)] = True
         self.words: _Ids | None = None
 
     def __getstate__(self) -> dict:
@@ -104,7 +113,7 @@ class Index:
         ids = np.fromiter(map(self.words.__getitem__, raw), np.int64, len(raw))
         found: set[tuple[int, int]] = set()
         for m in range(len(MASKS)):
-            at, h = _seeds(ids, m)
+            at, h = _seeds(ids, m, self.pairs[m])
             hit = self.maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
             at, h = at[hit], h[hit]
             low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
