@@ -13,7 +13,7 @@ passes, not larger ones. Texts are never shuffled.
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +25,15 @@ from pyspark.sql import functions as F
 MASKS = ("111111", "11010111", "1100100111", "10101010101", "111001011")
 WINDOW, SIMILARITY = 13, 0.8
 BLOCK_TOKENS = 200_000
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: Marks that don't count at a word's ends.
+_EDGE = string.punctuation + "“”‘’«»„…–—¿¡·"
 _OFFSETS = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
 _FACTORS = np.random.default_rng(20240611).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _BITS = 18
 
 
 def normal(word: str) -> str:
-    return _EDGE.sub("", word.lower()) or word
+    return word.lower().strip(_EDGE) or word
 
 
 class _Ids(dict):
@@ -46,17 +47,17 @@ class _Ids(dict):
 
     def __missing__(self, raw: str) -> int:
         out = self.vocab.get(normal(raw), 0)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[raw] = out
+        if len(self) < self.LIMIT:
+            self[raw] = out
         return out
 
 
-def _pairs(ids: np.ndarray, mask: int) -> np.ndarray:
-    """A 20-bit code of the first two counted positions of every window."""
+def _codes(ids: np.ndarray, mask: int) -> np.ndarray:
+    """A 20-bit code of three counted positions of every window."""
     o = _OFFSETS[mask]
     n = max(0, len(ids) - int(o[-1]))
-    return ((ids[:n] * 40503) ^ ids[int(o[1]) : int(o[1]) + n]) & 0xFFFFF
+    a, b, c = (ids[int(o[k]) : int(o[k]) + n] for k in (0, 3, 5))
+    return ((a * 40503) ^ (b * 30011) ^ c) & 0xFFFFF
 
 
 def _seeds(ids: np.ndarray, mask: int, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +65,7 @@ def _seeds(ids: np.ndarray, mask: int, pairs: np.ndarray | None = None) -> tuple
 
     ``pairs`` marks the codes of the test items' windows; other windows can't match and are left out.
     """
-    at = np.flatnonzero(pairs[_pairs(ids, mask)]) if pairs is not None else np.arange(max(0, len(ids) - int(_OFFSETS[mask][-1])))
+    at = np.flatnonzero(pairs[_codes(ids, mask)]) if pairs is not None else np.arange(max(0, len(ids) - int(_OFFSETS[mask][-1])))
     h = np.full(len(at), mask + 1, np.uint64)
     for j, k in enumerate(_OFFSETS[mask]):
         word = ids[at + k]
@@ -98,7 +99,7 @@ class Index:
         self.pairs = np.zeros((len(MASKS), 1 << 20), bool)
         for m in range(len(MASKS)):
             for ids in self.ids:
-                self.pairs[m][_pairs(ids, m)] = True
+                self.pairs[m][_codes(ids, m)] = True
         self.words: _Ids | None = None
 
     def __getstate__(self) -> dict:
