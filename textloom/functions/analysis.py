@@ -41,6 +41,13 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(content_tokens(F.col(text_col))).alias("pos", "term"))
 
 
+def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, term) like occurrences without positions: stop words go after the tokens are exploded,
+    in generated code instead of a lambda."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text_col))).alias("term"))
+    return rows.filter(~F.col("term").isin(*sorted(ALL)))
+
+
 def analyze(text: str, profile: str = "surface") -> list[str]:
     """The analyzer for query strings, on the driver."""
     found = [t for t in re.findall(TOKEN, text.lower()) if t not in ALL]

@@ -23,7 +23,7 @@ def postings(docs: DataFrame, profile: str = "surface", terms: list[str] | None
 
 def term_frequencies(docs: DataFrame, profile: str = "surface") -> DataFrame:
     """(term, doc_id, tf): postings without positions; counts combine before the shuffle."""
-    rows = analysis.occurrences(docs)
+    rows = analysis.terms(docs)
     if profile == "stemmed":
         rows = analysis.with_stems(rows)
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
