@@ -26,12 +26,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch
 
 LIMIT, EVERY, BLOCK_IDS = 16, 256, 1 << 18
+#: Bytes of text whose runs are numbered together, texts whose ids are laid out together.
+SLICE, ROWS = 16 << 20, 256
 HEAD = struct.Struct("<4sIQIQ")
 
 
@@ -150,33 +153,25 @@ def read_block(raw: bytes, table: tuple[np.ndarray, np.ndarray]) -> Iterator[tup
 
 
 # text to ids
-#: Texts of these characters are cut by the tokenizer into runs of letters and runs of marks, lower-cased.
-_SAFE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ .,;:!?%&*$#\n]*")
+#: Runs of these characters are cut by the tokenizer into runs of letters and runs of marks, lower-cased.
+_SAFE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?%&*$#]*")
 _KEYS = re.compile(r"[a-zß-öø-ÿ]+|[.,;:!?%&*$#]+")
 
 
-def keys(text: str | None) -> list[str]:
-    """A text as keys that are encoded independently of each other.
+def keys(run: str) -> list[str]:
+    """A run between spaces and line ends as keys that are encoded independently of each other.
 
-    The tokenizer cuts at white space and normalizes no character across it. Runs between spaces and
-    line ends of plain letters and marks are cut further, as the tokenizer does; others (with
-    apostrophes, digits, special strings, any other character) stay whole, marked by a zero.
+    The tokenizer cuts at white space and normalizes no character across it. Runs of plain letters and
+    marks are cut further, as the tokenizer does; others (with apostrophes, digits, special strings,
+    any other character) stay whole, marked by a zero.
     """
-    text = text or ""
-    if _SAFE.fullmatch(text):
-        return _KEYS.findall(text.lower())
-    out = []
-    for run in text.replace("\n", " ").split(" "):
-        if _SAFE.fullmatch(run):
-            out += _KEYS.findall(run.lower())
-        else:
-            out.append("\0" + run)
-    return out
+    return _KEYS.findall(run.lower()) if _SAFE.fullmatch(run) else ["\0" + run]
 
 
 class Words(dict):
-    """Ids of keys as little-endian u32 bytes; up to LIMIT keys are kept.
+    """Ids of keys and runs as little-endian u32 bytes; about LIMIT are kept.
 
+    Texts are cut into runs and numbered by Arrow, so Python sees only the distinct runs of a batch.
     Unknown words of a batch are encoded in one call as a text of their own, and cut where an id
     marks a word's end.
     """
@@ -199,7 +194,7 @@ class Words(dict):
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of unknown keys; kept if there is room."""
-        found, out = sorted(k for k in missing if k.isalpha()), {}
+        found, out = [k for k in missing if k.isalpha()], {}
         for at in range(0, len(found), self.CALL):
             part = found[at : at + self.CALL]
             ids = self._encode(" ".join(part))
@@ -214,14 +209,47 @@ class Words(dict):
             self.update((k, v) for k, v in out.items() if len(k) <= 64)
         return out
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text."""
-        cut = [keys(t) for t in texts]
-        missing = set().union(*cut).difference(self)
+    def runs(self, distinct: list[str]) -> list[bytes]:
+        """The ids of each of these runs."""
+        found = list(map(self.get, distinct))
+        todo = [i for i, v in enumerate(found) if v is None]
+        cut = [keys(distinct[i]) for i in todo]
+        missing = {k for ks in cut for k in ks if k not in self}
         new = self.learn(missing) if missing else {}
-        if all(k in self for k in new):
-            return [b"".join(map(self.__getitem__, ks)) for ks in cut]
-        return [b"".join([self[k] if k in self else new[k] for k in ks]) for ks in cut]
+        room = len(self) < self.LIMIT
+        for i, ks in zip(todo, cut, strict=True):
+            run = distinct[i]
+            found[i] = v = b"".join([new[k] if k in new else self[k] for k in ks])
+            if room and len(run) <= 64:
+                self[run] = v
+        return found
+
+    def batch(self, texts: pa.Array, kind: str = "<u4") -> Iterator[pa.Array]:
+        """The ids of each text as bytes, in arrays of at most ROWS texts."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        numbered = lists.flatten().dictionary_encode()
+        found = self.runs(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pool = np.frombuffer(b"".join(found), "<u4").astype(kind)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        begins = np.cumsum(sizes) - sizes
+        runs = numbered.indices.to_numpy()
+        stops = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        for row in range(0, len(texts), ROWS):
+            stop = stops[row : row + ROWS + 1]
+            at = runs[stop[0] : stop[-1]]
+            n = sizes[at]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = pool[np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])]
+            offsets = (ends[stop - stop[0]] * ids.itemsize).astype(np.int32)
+            yield pa.Array.from_buffers(pa.binary(), len(stop) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+
+def slices(b: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about this many bytes of a column."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy().astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(total // limit)) + 1).tolist(), b.num_rows]
+    for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+        yield b.slice(start, stop - start)
 
 
 @lru_cache(maxsize=2)
@@ -245,10 +273,11 @@ def tokenize(docs: DataFrame, path: str, vocab: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words(path)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in w.batch(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+            for part in slices(b, "text", SLICE):
+                at = 0
+                for ids in w.batch(part.column("text"), kind):
+                    rows, at = part.slice(at, len(ids)), at + len(ids)
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), ids], ["doc_id", "tie", "ids"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, ids binary")
 
