@@ -5,6 +5,7 @@ import html
 import math
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -258,6 +259,15 @@ def test_keys_encode_like_the_text(text):
 
 
 # op9
+def test_masks_meet_every_window_with_two_substitutions():
+    masks, window = op09_decontaminate.MASKS, op09_decontaminate.WINDOW
+    lost = window - math.ceil(op09_decontaminate.SIMILARITY * window)
+    assert lost == 2
+    for changed in combinations(range(window), lost):
+        placed = ({s + j for j, c in enumerate(m) if c == "1"} for m in masks for s in range(window - len(m) + 1))
+        assert any(not p & set(changed) for p in placed), changed
+
+
 def test_decontamination(spark, odd, none):
     item = " ".join(f"word{i}" for i in range(30))
     swapped = " ".join("other" if i % 9 == 4 else f"Word{i}," for i in range(30))
