@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +81,11 @@ def bounded_sample(rows: DataFrame, by: str, limit: int, key: str = "doc_id") ->
         share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, limit / n))).otherwise(share)
     unit = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     return rows.filter(unit < share)
+
+
+def release_memory() -> None:
+    """Give the freed memory of a Python worker back to the system, as idle workers live on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

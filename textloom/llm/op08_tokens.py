@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch
+from textloom.llm.common import Scratch, release_memory
 
 LIMIT, EVERY, BLOCK_IDS = 16, 256, 1 << 18
 #: Bytes of text whose runs are numbered together, texts whose ids are laid out together.
@@ -252,11 +252,17 @@ def slices(b: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatc
         yield b.slice(start, stop - start)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def words(path: str) -> Words:
+    """A worker's tokenizer, kept for all its tasks of the tokenizing stage; later stages forget it."""
     return Words(path)
 
 
+def forget_words() -> None:
+    words.cache_clear()
+    release_memory()
+
+
 @dataclass
 class Codec:
     lengths: np.ndarray
@@ -278,6 +284,7 @@ def tokenize(docs: DataFrame, path: str, vocab: int) -> DataFrame:
                 for ids in w.batch(part.column("text"), kind):
                     rows, at = part.slice(at, len(ids)), at + len(ids)
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), ids], ["doc_id", "tie", "ids"])
+        release_memory()
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, ids binary")
 
@@ -287,6 +294,7 @@ def count_ids(ids: DataFrame, end: int, vocab: int) -> np.ndarray:
     kind = "<u2" if vocab <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         total = np.zeros(vocab, np.int64)
         for b in batches:
             for raw in b.column("ids"):
@@ -324,6 +332,7 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> tuple[D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_words()
         shard, stop = TaskContext.get().partitionId(), np.array([end], kind).tobytes()
         block, first, held, docs_in, parts = 0, 0, 0, [], []
 
@@ -342,6 +351,7 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> tuple[D
                     block, first, held, docs_in, parts = block + 1, first + held, 0, [], []
         if docs_in:
             yield out()
+        release_memory()
 
     dealt = table.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     blocks = dealt.drop("tie").mapInArrow(run, "shard int, block int, first long, ids long, payload binary")
@@ -372,5 +382,6 @@ def read(blocks: DataFrame, code_table: DataFrame) -> DataFrame:
                     at += len(ids)
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        release_memory()
 
     return blocks.select("shard", "first", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
