@@ -16,6 +16,7 @@ decoder runs all of them as lanes of one array.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -228,7 +229,12 @@ class Words(dict):
         """The ids of each text as bytes, in arrays of at most ROWS texts."""
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         numbered = lists.flatten().dictionary_encode()
-        found = self.runs(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        gc.disable()  # hundreds of thousands of new lists, none in a cycle
+        try:
+            found = self.runs(distinct)
+        finally:
+            gc.enable()
         pool = np.frombuffer(b"".join(found), "<u4").astype(kind)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         begins = np.cumsum(sizes) - sizes
