@@ -59,6 +59,14 @@ def test_toxicity(spark, odd, none):
     assert 0 <= op01_toxicity.fit(docs, labels.limit(0)).score(["any", None, ""])[1] <= 1
 
 
+def test_lexicon_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    texts = [(" ".join([*(f"common{j}" for j in rng.choice(30, 5, replace=False)), *(["vile"] if i % 10 == 0 else [])]), int(i % 10 == 0)) for i in range(400)]
+    rows = spark.createDataFrame(texts, "text string, toxic int")
+    one, many = (op01_toxicity.learn_lexicon(rows.repartition(n)) for n in (1, 50))
+    assert one == many and "vile" in one.strong and not any(w.startswith("common") for w in one.strong | one.weak)
+
+
 def test_hidden_spellings():
     flags = op01_toxicity.Flags(op01_toxicity.Lexicon(frozenset(op01_toxicity.INSULTS), frozenset()))
     assert flags["idiot,"] & op01_toxicity.HIT and flags["1d1ot"] & op01_toxicity.HIDDEN and flags["id.i.ot"] & op01_toxicity.HIDDEN

@@ -137,7 +137,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = set((text or "").split())
             found[int(y)].update({p for w in words for x in {normal(w), revealed(w)} for p in pieces(x)})
-        keys = [k for k in found[1] if found[1][k] + found[0][k] > 0]
+        keys = list(found[0] | found[1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.string()), pa.array([found[1][k] for k in keys], pa.int64()), pa.array([found[0][k] for k in keys], pa.int64())],
             ["piece", "toxic", "clean"],
