@@ -73,6 +73,13 @@ def test_hidden_spellings():
     assert op01_toxicity.features("you i d i o t now", flags)[-1] > 0
 
 
+@pytest.mark.parametrize("at", [0, 30, 37, 200])
+def test_spelled_words_are_found_at_any_offset(at):
+    flags = op01_toxicity.Flags(op01_toxicity.Lexicon(frozenset({"idiot", "foolish*"}), frozenset()))
+    run = lambda s: op01_toxicity.features(" ".join(s), flags)[-1]
+    assert run("z" * at + "idiot") == run("z" * at + "idiot" + "z" * 9) == math.log1p(1) and run("z" * at + "idio") == 0
+
+
 @given(st.lists(st.tuples(st.floats(-5, 5), st.booleans()), min_size=1, max_size=60))
 @settings(max_examples=40, deadline=None)
 def test_isotonic_is_monotone(rows):

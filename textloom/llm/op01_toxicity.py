@@ -76,6 +76,14 @@ class Flags(dict):
     def __init__(self, lexicon: Lexicon):
         super().__init__()
         self.lexicon, self.second = lexicon, frozenset(SECOND)
+        self.lengths = sorted({len(w) for w in lexicon.strong if len(w) > 3 and not w.endswith("*")})
+
+    def spelled(self, joined: str) -> int:
+        """At how many offsets of a run of letters a strong word of four letters or more, or a strong beginning, is spelled."""
+        strong, n = self.lexicon.strong, len(joined)
+        return sum(
+            any(joined[i : i + k] in strong for k in self.lengths if i + k <= n) or any(joined[i : i + k] + "*" in strong for k in PREFIXES if i + k < n) for i in range(n - 3)
+        )
 
     def __missing__(self, raw: str) -> int:
         word = normal(raw)
@@ -108,7 +116,7 @@ def features(text: str | None, flags: Flags) -> list[float]:
     spelled = 0
     for m in _SPELLED.finditer(code):  # a word written letter by letter
         joined = "".join(words[m.start() : m.end()]).lower()
-        spelled += sum(flags.lexicon.level(joined[i:]) == 2 for i in range(min(len(joined), 40) - 3))
+        spelled += flags.spelled(joined)
     rate = lambda bit: float(np.count_nonzero(a & bit)) / n
     hits, weak = len(hit) + spelled, int(np.count_nonzero(a & WEAK))
     you = np.flatnonzero(a & YOU)
