@@ -333,6 +333,24 @@ def test_substrings(spark, odd, none):
     assert op10_substrings.shared_passages(none, Scratch(spark)).count() == 0
 
 
+def test_every_long_passage_is_found_to_its_ends(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+    passages = [text(51) for _ in range(57)] + ["same " * 80, "one two " * 40, "a " * 80]
+    rows, want = [], {}
+    for i, p in enumerate(passages):
+        rows += [(2 * i, f"{text(20 + i)} {p} {text(9)}"), (2 * i + 1, f"{text(3 + 2 * i)}\n{p}")]
+        want |= {2 * i: (20 + i, len(p.split()), 2 * i), 2 * i + 1: (3 + 2 * i, len(p.split()), 2 * i)}
+    found = op10_substrings.shared_passages(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()
+    assert len(found) == 120 and {r["doc_id"]: (r["start"], r["n_words"], r["first_doc_id"]) for r in found} == want
+
+
+@given(st.lists(st.sampled_from(["a", "bc", "def", "a"]), min_size=1, max_size=120))
+@settings(max_examples=60, deadline=None)
+def test_chunks_are_bounded(words):
+    assert max(np.diff(op10_substrings.chunks(" ".join(words).encode())[2])) <= op10_substrings.VIEW
+
+
 def test_sample_is_bounded(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("k"))
     assert all(120 < r["n"] < 280 for r in bounded_sample(rows, "k", 200).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect())

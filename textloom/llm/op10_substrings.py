@@ -1,15 +1,22 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the bytes of a text (words joined by one space); where its value meets a
-mask at the end of a word, a chunk ends. Cuts depend on the last few bytes only, so chunks resist
-insertions before them. From every chunk start, the run of whole chunks of at least ``RUN_WORDS``
-words gets a digest; a digest that occurs in two documents marks a passage they share. Marked runs
-are merged to spans, and spans of at least ``SPAN_WORDS`` words are reported, which takes more than
-one matching digest unless a run is that long by itself, so a chance collision reports nothing.
+A gear hash rolls over the bytes of a text (words joined by one space); at the end of a word where
+it is the least of some ``VIEW`` successive word ends, a chunk ends. Cuts depend on nearby bytes
+only, so chunks resist insertions before them, and none is longer than ``VIEW`` words, whatever the
+text. From every chunk start, the run of whole chunks of at least ``RUN_WORDS`` words gets a digest;
+a digest that occurs in two documents marks a passage they share. Marked runs are merged to spans,
+which are extended word by word as far as they agree with another document that holds the run at
+that end. Spans of at least ``SPAN_WORDS`` words are reported; no run is as long as that, so a chance
+collision reports nothing.
+
+A hash depends on 16 bytes (at most 7 words of a passage come before its first shared hash), so two
+copies of a passage have the same cuts but for 7 + VIEW words at its start and VIEW + 1 at its end.
+A run from the first shared cut ends inside if the passage has 7 + 4 VIEW - 2 + RUN_WORDS = 49 words
+or more, and from the outermost marked runs fewer than 3 VIEW words are left to either end.
 
 The repeated digests are found by a grouped count with map-side combine, so the commonest passage
-is one row per task; the join that marks runs has one row per repeated digest on the right, so AQE
-can split the commonest there. Spans are merged per document.
+is one row per task; the joins that mark runs and look up words have one row per repeated digest or
+place on the right, so AQE can split the commonest there. Spans are merged per document.
 """
 
 from __future__ import annotations
@@ -24,9 +31,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch
 
-RUN_WORDS, SPAN_WORDS = 16, 24
-#: A chunk ends at a word end where these two bits of the hash are zero; they depend on 14 bytes.
-CUT_SHIFT, CUT_MASK = 12, 3
+RUN_WORDS, SPAN_WORDS, VIEW = 16, 24, 7
+#: These bits of the hash depend on 16 bytes.
+CUT_MASK = 0xFFFF
+#: Words beside a marked run that may belong to the passage.
+BESIDE = 3 * VIEW
 GEAR = np.random.default_rng(20240613).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -39,12 +48,25 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def cuts(h: np.ndarray) -> np.ndarray:
+    """Where h is the least (the last of equal ones) of some VIEW successive values."""
+    n = len(h)
+    if n < VIEW:
+        return np.zeros(0, np.int64)
+    key = (h.astype(np.int64) << 32) | np.arange(n - 1, -1, -1)
+    low = key[: n - VIEW + 1].copy()
+    for k in range(1, VIEW):
+        np.minimum(low, key[k : n - VIEW + 1 + k], out=low)
+    at = n - 1 - (low & 0xFFFFFFFF)
+    return at[np.flatnonzero(np.diff(at, prepend=-1))]
+
+
 def chunks(text: bytes | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The normalized text, and byte and word offsets of its chunk borders, both ends included."""
     data = b" ".join((text or b"").split())
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw == 32)
-    cut = np.flatnonzero((gear(raw)[ends] >> np.uint32(CUT_SHIFT)) & np.uint32(CUT_MASK) == 0) if len(ends) else ends
+    cut = cuts(gear(raw)[ends] & np.uint32(CUT_MASK)) if len(ends) else ends
     words = len(ends) + 1 if data else 0
     return data, np.concatenate([[0], ends[cut] + 1, [len(data) + 1]]), np.concatenate([[0], cut + 1, [words]])
 
@@ -78,21 +100,69 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, at, side, words): the words before (side 0, nearest first) or after (side 1) each place of a text."""
+    for b in batches:
+        out = []
+        for d, t, places in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()), b.column("places").to_pylist(), strict=True):
+            words = (t.as_py() or b"").split()
+            out += [(d, p["at"], p["side"], words[p["at"] : p["at"] + BESIDE] if p["side"] else words[max(0, p["at"] - BESIDE) : p["at"]][::-1]) for p in places]
+        doc, at, side, near = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(near, pa.list_(pa.binary()))], ["doc", "at", "side", "words"])
+
+
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """pieces (doc_id, first, end) with the number of the span that overlapping or adjoining ones of a document make up."""
+    by_doc = Window.partitionBy("doc_id").orderBy("first", "end")
+    reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    new = pieces.withColumn("new", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
+    return new.withColumn("span", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _extended(docs: DataFrame, marked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, first, end, first_doc): spans of marked runs, as far as they agree with another document at either end."""
+    other = F.when(F.col("doc_id") == F.col("first_doc"), F.col("last_doc")).otherwise(F.col("first_doc"))
+    spans = _numbered(marked.withColumn("other", other)).groupBy("doc_id", "span")
+    spans = spans.agg(
+        F.min("first").alias("first"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"), F.min_by("digest", "first").alias("digest0"),
+        F.min_by("other", "first").alias("other0"), F.max_by("digest", "end").alias("digest1"), F.max_by("other", "end").alias("other1"),
+    )
+    spans = scratch.save(spans, "spans")
+    sides = [spans.select("doc_id", "span", F.lit(i).alias("side"), F.col(at).alias("at"), F.col(f"digest{i}").alias("digest"), F.col(f"other{i}").alias("other")) for i, at in enumerate(("first", "end"))]
+    held = marked.filter("doc_id in (first_doc, last_doc)").groupBy("digest", F.col("doc_id").alias("other")).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("first", "end") for f in (F.min, F.max)))
+    edges = sides[0].unionByName(sides[1]).join(held, ["digest", "other"])
+    outer = [F.array_distinct(F.array(f"min_{c}", f"max_{c}")) for c in ("first", "end")]  # a run that repeats itself has several places
+    edges = scratch.save(edges.select("doc_id", "span", "side", "at", "other", F.explode(F.when(F.col("side") == 0, outer[0]).otherwise(outer[1])).alias("other_at")), "edges")
+    places = edges.select(F.col("doc_id").alias("doc"), "at", "side").union(edges.select("other", "other_at", "side")).distinct()
+    places = places.groupBy("doc").agg(F.collect_list(F.struct("at", "side")).alias("places"))
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(places, "doc")
+    words = scratch.save(texts.mapInArrow(_beside, "doc long, at int, side int, words array<binary>"), "words")
+    own = words.select(F.col("doc").alias("doc_id"), "at", "side", F.col("words").alias("own"))
+    theirs = words.select(F.col("doc").alias("other"), F.col("at").alias("other_at"), "side", F.col("words").alias("theirs"))
+    pairs = edges.join(own, ["doc_id", "at", "side"]).join(theirs, ["other", "other_at", "side"])
+    same = F.zip_with("own", "theirs", lambda x, y: x.eqNullSafe(y))
+    differ = F.array_position(same, False)
+    agree = pairs.withColumn("more", F.when(differ > 0, differ - 1).otherwise(F.size(same)).cast("int"))
+    more = agree.groupBy("doc_id", "span").agg(*(F.max(F.when(F.col("side") == i, F.col("more"))).alias(f"more{i}") for i in (0, 1)))
+    grown = spans.join(more, ["doc_id", "span"], "left")
+    return grown.select("doc_id", (F.col("first") - F.coalesce("more0", F.lit(0))).alias("first"), (F.col("end") + F.coalesce("more1", F.lit(0))).alias("end"), "first_doc")
+
+
 def shared_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, start, n_words, first_doc_id): spans of a document that occur in other documents as well.
 
     start and n_words count words; first_doc_id is the smallest id of a document that holds a run of
     the span. Rows without a doc_id are left out, as nothing could point to them; rows that repeat a
-    doc_id count as one document. Texts under RUN_WORDS words have no runs.
+    doc_id count as one document. Texts under RUN_WORDS words have no runs. An end of a span is where
+    it stops to agree with one other document that holds its outermost run (the one with the smallest
+    id, or for that one the one with the largest).
     """
-    found = scratch.save(docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_rows, "digest long, doc_id long, first int, end int"), "runs")
-    counted = found.groupBy("digest").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    repeated = scratch.save(counted.filter("low < high").select("digest", F.col("low").alias("first_doc")), "repeated")
-    marked = found.join(repeated, "digest").select("doc_id", "first", "end", "first_doc")
-    by_doc = Window.partitionBy("doc_id").orderBy("first", "end")
-    reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    spans = marked.withColumn("new", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
-    spans = spans.withColumn("span", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    docs = docs.filter("doc_id is not null").select("doc_id", "text")
+    found = scratch.save(docs.mapInArrow(_rows, "digest long, doc_id long, first int, end int"), "runs")
+    counted = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    repeated = scratch.save(counted.filter("first_doc < last_doc"), "repeated")
+    marked = scratch.save(found.join(repeated, "digest"), "marked")
+    spans = _numbered(_extended(docs, marked, scratch))
     out = spans.groupBy("doc_id", "span").agg(F.min("first").alias("start"), F.max("end").alias("stop"), F.min("first_doc").alias("first_doc_id"))
     return out.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "first_doc_id").filter(F.col("n_words") >= SPAN_WORDS)
 
@@ -102,8 +172,8 @@ def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     A cut text keeps its other words, joined by single spaces.
     """
-    cuts = spans.filter("doc_id <> first_doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("stop"))).alias("_cuts"))
+    cut_at = spans.filter("doc_id <> first_doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("stop"))).alias("_cuts"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     kept = F.filter(words, lambda w, i: ~F.exists("_cuts", lambda c: (i >= c["start"]) & (i < c["stop"])))
-    joined = docs.join(cuts, "doc_id", "left")
+    joined = docs.join(cut_at, "doc_id", "left")
     return joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(*docs.columns)
