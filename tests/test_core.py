@@ -69,7 +69,76 @@ def test_stems_unite_forms(engines):
 def test_add_skips_known_files(spark, folder, engines, tmp_path):
     (tmp_path / "new.txt").write_text("hello again")
     e = engines["surface"].add(str(tmp_path))
-    assert ids(e.term("hello")) == [1, 5] and e.add(str(folder)).n_docs == 6
+    assert ids(e.term("hello")) == [1, 5] and e.counts == {"added": 1, "skipped": 0, "failed": 0}
+    again = e.add(str(folder))
+    assert again.n_docs == 6 and again.counts == {"added": 0, "skipped": 5, "failed": 0}
+
+
+def test_deltas_of_a_saved_engine(spark, folder, tmp_path):
+    (tmp_path / "new").mkdir()
+    (tmp_path / "new" / "new.txt").write_text("hello hello fresh world")
+    e = Engine.from_folder(spark, str(folder)).save(f"{tmp_path}/index")
+    assert e.stats().first()["runs"] == 1 and e.corpus_stats.first()["docs"] == 5
+    e = e.add(f"file://{tmp_path}/new").flush()
+    assert e.stats().first()["runs"] == 2 and ids(e.term("hello")) == [1, 5] and ids(e.phrase("fresh world")) == [5]
+    loaded = Engine.load(spark, f"{tmp_path}/index")
+    assert loaded.n_docs == 6 and loaded.ranked("hello", mode="exact").count() == 2 and loaded.vocab.filter("term = 'hello'").first()["df"] == 2
+    (tmp_path / "index" / "gen-0" / "delta-00000009" / "postings").mkdir(parents=True)  # a delta that was cut off
+    assert Engine.load(spark, f"{tmp_path}/index").n_docs == 6
+    whole = e.compact()
+    assert whole.stats().first()["runs"] == 1 and whole.n_docs == 6 and ids(whole.term("hello")) == [1, 5] and whole.champions.filter("term = 'hello'").count() == 2
+    assert sorted(map(tuple, whole.postings.select("term", "doc_id", "tf").collect())) == sorted(map(tuple, Engine(spark, whole.docs).tf.select("term", "doc_id", "tf").collect()))
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["gen-1"]
+
+
+def test_rebuild_reads_the_files_again(spark, tmp_path):
+    top = tmp_path / "docs"
+    top.mkdir()
+    for name, text in (("a.txt", "one"), ("b.txt", "two"), ("c.txt", "three")):
+        (top / name).write_text(text)
+    e = Engine.from_folder(spark, f"file://{top}").set_meta(2, date="20240101")
+    (top / "a.txt").write_text("changed")
+    (top / "b.txt").unlink()
+    e = e.rebuild()
+    assert ids(e.docs) == [0, 2] and ids(e.term("changed")) == [0] and ids(e.query("DATE[20240101,20240101]")) == [2]
+
+
+def test_ids_are_dense_over_many_partitions(spark):
+    rows = spark.range(400_000, numPartitions=16).select(F.sha1(F.col("id").cast("string")).alias("path"))
+    got = textdir.numbered(rows, "path", 5).agg(F.count_distinct("doc_id").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).first()
+    assert (got["n"], got["a"], got["z"]) == (400_000, 5, 400_004)
+    few = [r["path"] for r in textdir.numbered(rows.limit(500), "path").orderBy("doc_id").collect()]
+    assert few == sorted(few)
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from textloom.scratch import shared_root
+
+    none = N(get=lambda *a: None)
+    cluster = N(conf=none, sparkContext=N(master="yarn", getConf=lambda: none))
+    with pytest.raises(RuntimeError):
+        shared_root(cluster)
+
+
+def test_boolean_ignores_other_columns(spark, engines):
+    docs = engines["surface"].docs.withColumn("f0", F.lit(1)).withColumn("_has0", F.lit(1)).withColumn("term", F.lit("x"))
+    from textloom.operators import search
+
+    assert ids(search.boolean(docs, engines["surface"].tf, "hello OR мир")) == [0, 1, 2]
+
+
+def test_postings_invariants(engines):
+    p = engines["surface"].postings
+    ordered = F.array_sort(F.array_distinct("positions"))
+    assert p.filter((F.size("positions") != F.col("tf")) | (ordered != F.col("positions"))).count() == 0
+
+
+def test_all_parts_and_repeated_query_words(engines):
+    e = engines["surface"]
+    assert ids(e.query("zzz_hello", all_parts=True)) == [1] and ids(e.query("zzz_hello")) == []
+    assert e.ranked("hello hello world", mode="exact").first()["doc_id"] == 1
 
 
 def test_stemmer():
@@ -126,6 +195,10 @@ def test_date_predicates(spark):
     assert docs.limit(1).select(dates.previous_day(F.lit("20240301"))).first()[0] == "20240229"
     assert dates.set_meta(docs, 3, date="20240115").filter("date = '20240115'").count() == 1
     assert dates.parse_assignments("date=20240101 end=null") == {"date": "20240101", "end_date": None}
+    with pytest.raises(ValueError):  # after the end that is stored
+        dates.set_meta(docs, 4, start_date="20240101")
+    with pytest.raises(KeyError):
+        dates.set_meta(docs, 99, date="20240101")
     for bad in ("date=1", "x=20240101", "start=20240101 end=20230101"):
         with pytest.raises(ValueError):
             dates.parse_assignments(bad)
@@ -146,17 +219,87 @@ def test_store(spark, tmp_path):
     assert pairs(s.scan("a", "y", 50)) == [("alice", "1"), ("bob", "22"), ("dave", "4")]
     s.compact()
     again = kv.Store(spark, f"file://{tmp_path}/kv")
-    assert pairs(again.scan("a", "y")) == [("alice", "1"), ("bob", "22"), ("dave", "4")] and len(again._deltas()) == 1
+    assert pairs(again.scan("a", "y")) == [("alice", "1"), ("bob", "22"), ("dave", "4")] and again.stats()["runs"] == 1
     again.append(spark.createDataFrame([("eve", b"5", False), ("bob", None, True)], "key string, value binary, is_delete boolean"))
     assert again.get("bob") is None and again.get("eve") == b"5"
 
 
+def test_interrupted_compaction_loses_nothing(spark, tmp_path):
+    s = kv.Store(spark, f"file://{tmp_path}/kv")
+    s.put("a", b"1")
+    s.put("b", b"2")
+    s.compact()
+    (tmp_path / "kv" / "gen-2" / "delta-1").mkdir(parents=True)  # the next one was cut off before its _DONE
+    again = kv.Store(spark, f"file://{tmp_path}/kv")
+    assert again.get("a") == b"1" and again.get("b") == b"2" and again.stats()["runs"] == 1
+    again.put("a", b"3")
+    again.compact()
+    assert kv.Store(spark, f"file://{tmp_path}/kv").get("a") == b"3"
+
+
+def test_merging_store(spark, tmp_path):
+    s = kv.MergingStore(spark, f"file://{tmp_path}/m", max_deltas=2)
+    s.put("x", {1, 2})
+    s.flush()
+    s.put("x", {2, 3})
+    s.put("y", {7})
+    held = lambda df: sorted(r["member"] for r in df.collect())
+    assert held(s.get("x")) == [1, 2, 3] and held(s.get("z")) == []
+    s.append(spark.createDataFrame([("x", 9), ("x", 9)], kv.MEMBERS))
+    s.flush()
+    assert s.stats()["runs"] == 1  # more than max_deltas: merged
+    again = kv.MergingStore(spark, f"file://{tmp_path}/m")
+    assert held(again.get("x")) == [1, 2, 3, 9] and [r["key"] for r in again.keys().collect()] == ["x", "y"] and again.rows().count() == 5
+    assert [tuple(r) for r in again.scan("x", "x").collect()] == [("x", m) for m in (1, 2, 3, 9)]
+
+
+def test_batched_reads(spark):
+    log = spark.createDataFrame([(f"k{i:03d}", b"v", i, i % 5 == 0) for i in range(50)], kv.SCHEMA)
+    assert kv.get_many(log, spark.createDataFrame([("k001",), ("k005",), ("none",)], "key string")).count() == 1
+    got = kv.scan_many(log, spark.createDataFrame([("k01", "k019"), ("k030", "k03~")], "low string, high string"), limit=3, prefix=2).collect()
+    assert sorted((r["low"], r["key"]) for r in got) == [("k01", "k011"), ("k01", "k012"), ("k01", "k013"), ("k030", "k031"), ("k030", "k032"), ("k030", "k033")]
+    assert kv.keys(log).count() == 40
+
+
+@given(st.lists(st.one_of(st.none(), st.floats(-1e6, 1e6), st.integers(0, 3).map(float)), max_size=40))
+@settings(max_examples=8, deadline=None)
+def test_percentiles(spark, values):
+    from textloom.operators import stats
+
+    got = {r["p"]: r["value"] for r in stats.percentiles(spark.createDataFrame([(v,) for v in values], "x double"), "x").collect()}
+    held = sorted(v for v in values if v is not None)
+    assert got == {float(p): held[int(p / 100 * (len(held) - 1))] for p in (50, 95, 99) if held}
+
+
+def test_percentiles_of_many_values(spark, monkeypatch):
+    from textloom.operators import stats
+
+    monkeypatch.setattr(stats, "FEW", 10)
+    rows = spark.range(30_000).select((F.col("id") * F.col("id") % 7919).cast("double").alias("x"))
+    held = sorted(r["x"] for r in rows.collect())
+    assert {r["p"]: r["value"] for r in stats.percentiles(rows, "x").collect()} == {float(p): held[int(p / 100 * 29_999)] for p in (50, 95, 99)}
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spark.createDataFrame([(1, "tion ing"), (2, "ing")], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("doc_id long, text string").parquet(f"{tmp_path}/in")
     ingest.stream_postings(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
-    assert spark.read.parquet(f"{tmp_path}/out").filter("term = 'ing'").count() == 2
+    assert ingest.read_postings(spark, f"{tmp_path}/out").filter("term = 'ing'").count() == 2
+    merged = Engine(spark, spark.createDataFrame([(9, "ing")], "doc_id long, text string")).add_stream(f"{tmp_path}/out")
+    assert ids(merged.filter("term = 'ing'")) == [1, 2, 9]
+
+
+def test_streamed_writes_reach_the_store(spark, tmp_path):
+    spark.createDataFrame([("a", "1", 1, False), ("b", "2", 2, False), ("a", None, 3, True)], "key string, value string, seq long, is_delete boolean").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key string, value string, seq long, is_delete boolean").parquet(f"{tmp_path}/in")
+    ingest.stream_kv(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(60)
+    assert ingest.read_kv(spark, f"{tmp_path}/out").count() == 3
+    s = kv.Store(spark, f"file://{tmp_path}/kv")
+    assert s.append_stream(f"file://{tmp_path}/out") == 3 and s.append_stream(f"file://{tmp_path}/out") == 0
+    assert s.get("a") is None and s.get("b") == b"2" and s.seq == 3
+    s.compact()
+    assert s.append_stream(f"file://{tmp_path}/out") == 3 and s.get("a") is None and s.get("b") == b"2"
 
 
 def test_ids_follow_paths(spark, folder):

@@ -53,9 +53,17 @@ def parse_assignments(text: str) -> dict[str, str | None]:
 
 
 def set_meta(docs: DataFrame, doc_id: int, **values: str | None) -> DataFrame:
-    """docs with the fields of one document replaced; fields not named stay."""
+    """docs with the fields of one document replaced; fields not named stay.
+
+    The document's whole metadata, old and new fields together, must be valid; an unknown document
+    is a KeyError.
+    """
     row = F.col("doc_id") == doc_id
-    return docs.withColumns({k: F.when(row, F.lit(v).cast("string")).otherwise(F.col(k)) for k, v in checked(**values).items()})
+    held = docs.filter(row).select(*FIELDS).first()
+    if held is None:
+        raise KeyError(doc_id)
+    checked(**{**held.asDict(), **checked(**values)})
+    return docs.withColumns({k: F.when(row, F.lit(v).cast("string")).otherwise(F.col(k)) for k, v in values.items()})
 
 
 def violations(docs: DataFrame) -> DataFrame:

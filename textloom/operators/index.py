@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from textloom.functions import analysis
 
 
-def postings(docs: DataFrame, profile: str = "surface", terms: list[str] | None = None) -> DataFrame:
-    """(term, doc_id, positions, tf), positions ascending.
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it was read, in at least as many partitions as the session has cores: a file of one row group
+    would else be tokenized by one task. Larger tables are left alone; meant for plain scans, whose number of
+    partitions is known without running anything."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
-    ``terms`` restricts the build to some terms before the shuffle (query-time scans).
-    """
+
+def postings(docs: DataFrame, profile: str = "surface") -> DataFrame:
+    """(term, doc_id, positions, tf), positions ascending; tf is their number."""
     rows = analysis.occurrences(docs)
     if profile == "stemmed":
         rows = analysis.with_stems(rows)
-    if terms is not None:
-        rows = rows.filter(F.col("term").isin(*terms) if terms else F.lit(False))
     return rows.groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.count(F.lit(1)).cast("int").alias("tf"))
 
 
@@ -29,6 +32,13 @@ def term_frequencies(docs: DataFrame, profile: str = "surface") -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
+def merge_postings(rows: DataFrame) -> DataFrame:
+    """Postings of several deltas as one table: positions of a (term, doc_id) that is in more than one are united."""
+    places = F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions"))))
+    both = rows.groupBy("term", "doc_id").agg(places.alias("positions"))
+    return both.withColumn("tf", F.size("positions").cast("int"))
+
+
 def vocabulary(tf: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, idf) with the smoothed idf ln((N+1)/(df+1)) + 1."""
     idf = F.log((F.lit(float(n_docs)) + 1) / (F.col("df") + 1)) + 1
@@ -67,20 +77,27 @@ def champions(tf: DataFrame, r: int = 32) -> DataFrame:
 
 
 def tiers(tf: DataFrame, sizes: tuple[int, ...] = (16, 64)) -> DataFrame:
-    """(term, tier, doc_id): tier i holds the next sizes[i] postings by weight, the last tier the rest."""
+    """(term, tier, doc_id): tier i holds the next sizes[i] postings by weight, the last tier the rest.
+
+    Only the first sum(sizes) ranks are needed, so ranking is a group limit as for champions; the rest
+    of a term is joined on (term, doc_id), which spreads a hot term over tasks.
+    """
     sizes = tuple(sizes) or (16, 64)
-    rank, tier, upto = F.row_number().over(_by_weight()), F.lit(len(sizes)), sum(sizes)
+    tier, upto = F.lit(len(sizes)), sum(sizes)
+    ranked = tf.withColumn("rank", F.row_number().over(_by_weight())).filter(F.col("rank") <= upto)
     for i in reversed(range(len(sizes))):
         tier = F.when(F.col("rank") <= upto, F.lit(i)).otherwise(tier)
         upto -= sizes[i]
-    return tf.withColumn("rank", rank).select("term", tier.alias("tier"), "doc_id")
+    return tf.select("term", "doc_id").join(ranked.select("term", "doc_id", "rank"), ["term", "doc_id"], "left").select("term", tier.alias("tier"), "doc_id")
 
 
 def write_table(df: DataFrame, path: str, key: str) -> None:
-    """Range-partitioned and sorted by key, with a Parquet bloom filter on it."""
+    """Range-partitioned and sorted by key, with a Parquet bloom filter on it; a key of many rows spans partitions
+    where the table has a doc_id."""
+    by = [key, *[c for c in ("doc_id",) if c in df.columns and c != key]]
     (
-        df.repartitionByRange(key)
-        .sortWithinPartitions(key)
+        df.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
         .write.mode("overwrite")
         .option(f"parquet.bloom.filter.enabled#{key}", "true")
         .parquet(path)

@@ -58,17 +58,25 @@ def top_exact(tf: DataFrame, norms: DataFrame, n_docs: int, text: str, k: int =
     return _top(score(tf, norms, weights, norm), k) if norm else _nothing(tf)
 
 
-def top_inexact(tf: DataFrame, norms: DataFrame, n_docs: int, text: str, k: int = 10, r: int = 32, sizes: tuple[int, ...] = (16, 64), profile: str = "surface") -> DataFrame:
+def top_inexact(
+    tf: DataFrame, norms: DataFrame, n_docs: int, text: str, k: int = 10, r: int = 32, sizes: tuple[int, ...] = (16, 64), profile: str = "surface",
+    champions: DataFrame | None = None, tiers: DataFrame | None = None,
+) -> DataFrame:
     """Like top_exact, but only over candidates: the champions of the query's terms and, if those
-    are fewer than k, the documents of as many tiers as it takes to reach 2k."""
+    are fewer than k, the documents of as many tiers as it takes to reach 2k.
+
+    Saved champion and tier tables are read by term; without them they are made of the query's terms only.
+    """
     weights, norm = query_weights(tf, n_docs, text, profile)
     if not norm:
         return _nothing(tf)
-    own = tf.filter(F.col("term").isin(*[t for t, *_ in weights]))
-    candidates = ix.champions(own, r).select("doc_id").distinct()
+    asked = F.col("term").isin(*[t for t, *_ in weights])
+    own = tf.filter(asked)
+    lists = ix.champions(own, r) if champions is None else champions.filter(asked & (F.col("rank") <= r))
+    candidates = lists.select("doc_id").distinct()
     if candidates.limit(k).count() < k:
-        first = ix.tiers(own, sizes).groupBy("doc_id").agg(F.min("tier").alias("tier"))
-        first = first.join(candidates.withColumn("tier", F.lit(-1)).withColumnRenamed("tier", "c"), "doc_id", "full").select("doc_id", F.coalesce("c", "tier").alias("tier"))
+        levels = ix.tiers(own, sizes) if tiers is None else tiers.filter(asked)
+        first = levels.select("doc_id", "tier").unionByName(candidates.withColumn("tier", F.lit(-1))).groupBy("doc_id").agg(F.min("tier").alias("tier"))
         size = {row["tier"]: row["n"] for row in first.groupBy("tier").agg(F.count(F.lit(1)).alias("n")).collect()}
         total, level = size.get(-1, 0), -1
         while total < 2 * k and level < len(sizes):

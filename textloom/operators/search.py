@@ -21,16 +21,17 @@ def boolean(docs: DataFrame, postings: DataFrame, expr: str, profile: str = "sur
     All word leaves are read in one scan of the postings and turned into flags by one
     aggregation on doc_id; the documents drive the join, so NOT also finds documents without
     postings. A leaf that analyzes to nothing (a stop word) matches no document. A leaf that
-    analyzes to several terms uses the first, or any of them if ``all_parts``.
+    analyzes to several terms uses the first, or any of them if ``all_parts``. Of docs only the id
+    and the dates are read, so other columns may have any name.
     """
     tree = q.parse(expr, loose_operators)
     leaves = {w: (t if all_parts else t[:1]) for w in q.words_of(tree) for t in [analysis.analyze(w, profile)]}
     terms = sorted({t for ts in leaves.values() for t in ts})
-    flag = {t: f"f{i}" for i, t in enumerate(terms)}
-    base = docs
+    flag = {t: f"_has{i}" for i, t in enumerate(terms)}
+    base = docs.select("doc_id", *[c for c in ("date", "start_date", "end_date") if c in docs.columns])
     if terms:
         flags = postings.filter(F.col("term").isin(*terms)).groupBy("doc_id").agg(*(F.max(F.col("term") == t).alias(f) for t, f in flag.items()))
-        base = docs.join(flags, "doc_id", "left")
+        base = base.join(flags, "doc_id", "left")
     has = lambda w: reduce(lambda a, b: a | b, [F.coalesce(F.col(flag[t]), F.lit(False)) for t in leaves[w]], F.lit(False))
     return base.filter(q.to_column(tree, has)).select("doc_id")
 

@@ -7,18 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.engine import Engine
 from textloom.functions import analysis
 from textloom.functions.stopwords import ALL
 from textloom.operators import dates, kv, ranked, search, stats
 from textloom.operators import index as ix
+from textloom.scratch import Scratch
+from textloom.streaming import ingest
 
 TOP, LEVELS, SMALL_R = 10, (16, 64), 4
 RANKED = "tion ing ea"
 LOW_DF = "thanedble anea ierai"
+#: A key whose newest write is a value, and one whose newest write deletes it, in the tables of scale 0.01.
+LIVE, DELETED = "00000009", "00000008"
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    return ix.spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+
+
+_ENGINES: dict[tuple, Engine] = {}
+
+
+def engine(spark: SparkSession, d: str, profile: str = "surface") -> Engine:
+    """The saved engine over a folder's documents: built once a session from the whole table, again if its files change.
+
+    Queries are about the index, as they are for users; ``index_build`` is the query that makes one.
+    """
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(p)
+    key = (sc.applicationId, profile, d, status.getModificationTime(), fs.getContentSummary(p).getLength())
+    if key not in _ENGINES:
+        scratch = Scratch(spark)
+        _ENGINES[key] = Engine(spark, _docs(spark, d), profile).save(scratch.path("engine"))
+    return _ENGINES[key]
 
 
 def _dated(spark: SparkSession, d: str) -> DataFrame:
@@ -34,23 +58,55 @@ def _dated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return ix.postings(_docs(spark, d))
+    return engine(spark, d).postings
 
 
 def _tf(spark: SparkSession, d: str) -> DataFrame:
-    return ix.term_frequencies(_docs(spark, d))
-
-
-def _n(spark: SparkSession, d: str) -> int:
-    return _docs(spark, d).count()
+    return engine(spark, d).tf
 
 
 def _vocab(spark: SparkSession, d: str) -> DataFrame:
-    return ix.vocabulary(_tf(spark, d), _n(spark, d))
+    return engine(spark, d).vocab
 
 
 def _norms(spark: SparkSession, d: str) -> DataFrame:
-    return ix.doc_norms(_tf(spark, d), _vocab(spark, d))
+    return engine(spark, d).norms
+
+
+def _built(spark: SparkSession, d: str) -> DataFrame:
+    """A new engine, all its tables written; its corpus statistics."""
+    return Engine(spark, _docs(spark, d)).save(Scratch(spark).path("engine")).corpus_stats
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The postings in two deltas that share documents: every other position of each (term, doc_id)."""
+    rows = _postings(spark, d)
+    half = lambda odd: rows.select("term", "doc_id", F.filter("positions", lambda p: p % 2 == odd).alias("positions")).filter(F.size("positions") > 0)
+    return half(0), half(1)
+
+
+def _rejoined(spark: SparkSession, d: str) -> DataFrame:
+    even, odd = _halves(spark, d)
+    return ix.merge_postings(even.unionByName(odd)).select("term", "doc_id", F.array_join("positions", ",").alias("positions"), "tf")
+
+
+def _merging(spark: SparkSession, d: str) -> DataFrame:
+    """The term sets of two deltas put into a merging store and compacted."""
+    store = kv.MergingStore(spark, Scratch(spark).path("merging"))
+    for part in _halves(spark, d):
+        store.append(part.select(F.col("term").alias("key"), F.col("doc_id").alias("member")))
+    store.compact()
+    return store.rows()
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream, their postings appended by batches and read back merged."""
+    scratch = Scratch(spark)
+    table = f"{d}/documents.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{d}/documents.parque[t]").select("doc_id", "text")
+    out = scratch.path("streamed")
+    ingest.stream_postings(stream, out, scratch.path("progress")).awaitTermination()
+    return ingest.read_postings(spark, out).select("term", "doc_id", "tf")
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -66,27 +122,25 @@ def _text_values(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.col("value").cast("string"))
 
 
-def _bool(expr: str, dated: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+def _bool(expr: str, dated: bool = False, profile: str = "surface") -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        docs = _dated(spark, d) if dated else _docs(spark, d)
-        return search.boolean(docs, ix.term_frequencies(docs), expr)
+        e = engine(spark, d, profile)
+        return search.boolean(_dated(spark, d) if dated else e.docs, e.tf, expr, profile)
 
     return run
 
 
 def _ranked(exact: bool, text: str, r: int = 32) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        tf, n = _tf(spark, d), _n(spark, d)
-        norms = ix.doc_norms(tf, ix.vocabulary(tf, n))
-        out = ranked.top_exact(tf, norms, n, text, TOP) if exact else ranked.top_inexact(tf, norms, n, text, TOP, r, LEVELS)
+        e = engine(spark, d)
+        out = ranked.top_exact(e.tf, e.norms, e.n_docs, text, TOP) if exact else ranked.top_inexact(e.tf, e.norms, e.n_docs, text, TOP, r, LEVELS, "surface", e.champions, e.tiers)
         return out.withColumn("score", F.round("score", 6))
 
     return run
 
 
 def _stemmed(s: SparkSession, d: str) -> DataFrame:
-    docs = _docs(s, d)
-    return ix.vocabulary(ix.term_frequencies(docs, "stemmed"), docs.count()).select("term", "df")
+    return engine(s, d, "stemmed").vocab.select("term", "df")
 
 
 def _positional(s: SparkSession, d: str) -> DataFrame:
@@ -109,10 +163,11 @@ def _intervals(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "tokenize_tf": _tf,
+    "index_build": _built,
+    "tokenize_tf": lambda s, d: ix.term_frequencies(_docs(s, d)),
     "tokenize_positions": lambda s, d: analysis.occurrences(_docs(s, d)),
     "vocab_df": lambda s, d: _vocab(s, d).select("term", "df"),
-    "postings_positions": lambda s, d: _postings(s, d).select("term", "doc_id", F.array_join("positions", ",").alias("positions"), "tf"),
+    "postings_positions": lambda s, d: ix.postings(_docs(s, d)).select("term", "doc_id", F.array_join("positions", ",").alias("positions"), "tf"),
     "term_lookup": lambda s, d: search.term_docs(_tf(s, d), "tion"),
     "bool_and": _bool("tion AND ing"),
     "bool_or": _bool("thanedble OR ierai"),
@@ -132,9 +187,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_docs": lambda s, d: search.prefix_docs(_tf(s, d), "Tiona"),
     "prefix_terms": lambda s, d: search.prefix_terms(_vocab(s, d), "tiona"),
     "wildcard_middle": lambda s, d: search.wildcard_docs(_tf(s, d), "th*ble"),
-    "wildcard_suffix": lambda s, d: search.wildcard_terms(_vocab(s, d), "*ingtion", None, ix.grams(_vocab(s, d))),
+    "wildcard_suffix": lambda s, d: search.wildcard_terms(_vocab(s, d), "*ingtion", None, engine(s, d).grams),
     "wildcard_short_no_gram": lambda s, d: search.wildcard_terms(_vocab(s, d), "t*g"),
-    "kgram_index": lambda s, d: ix.grams(_vocab(s, d)).groupBy("gram").agg(F.count(F.lit(1)).alias("n_terms")),
+    "kgram_index": lambda s, d: engine(s, d).grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_terms")),
     "date_range": lambda s, d: _dated(s, d).filter(dates.date_range("20200301", "20200430")).select("doc_id"),
     "date_exact": lambda s, d: _dated(s, d).filter(F.col("date") == "20200315").select("doc_id"),
     "appeared_range": lambda s, d: _dated(s, d).filter(dates.appeared("20200301", "20200430")).select("doc_id"),
@@ -148,7 +203,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ranked_exact": _ranked(True, RANKED),
     "ranked_inexact": _ranked(False, RANKED),
     "ranked_inexact_topup": _ranked(False, LOW_DF, SMALL_R - 3),
-    "kv_get_latest": lambda s, d: _text_values(kv.get(_log(s, d), "00000008")),
+    "champions_saved": lambda s, d: engine(s, d).champions.select("term", "rank", "doc_id"),
+    "corpus_stats": lambda s, d: engine(s, d).corpus_stats,
+    "positional_merge": _rejoined,
+    "merge_compaction": _merging,
+    "streamed_postings": _streamed,
+    "kv_get_latest": lambda s, d: _text_values(kv.get(_log(s, d), LIVE)),
+    "kv_get_deleted": lambda s, d: _text_values(kv.get(_log(s, d), DELETED)),
+    "kv_get_many": lambda s, d: _text_values(kv.get_many(_log(s, d), _log(s, d).filter("seq % 10 = 0").select("key").distinct())),
+    "kv_keys": lambda s, d: kv.keys(_log(s, d)),
     "kv_range_scan": lambda s, d: _text_values(kv.scan(_log(s, d), "00000010", "00000120", 64)),
     "kv_compact": lambda s, d: _text_values(kv.current(_log(s, d))),
     "kv_newest_window": lambda s, d: _text_values(kv.newest(_log(s, d))).select("key", "seq", "value", "is_delete"),
@@ -158,7 +221,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stats": lambda s, d: _docs(s, d).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.octet_length("text")).alias("bytes")),
     "bench_percentiles": lambda s, d: stats.percentiles(s.read.parquet(f"{d}/events.parquet"), "value"),
     "stemmed_vocab": _stemmed,
-    "stemmed_bool": lambda s, d: search.boolean(_docs(s, d), ix.term_frequencies(_docs(s, d), "stemmed"), "tions AND ings", "stemmed"),
+    "stemmed_bool": _bool("tions AND ings", profile="stemmed"),
 }
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(ALL))
@@ -268,7 +331,16 @@ WHERE strftime(o_orderdate, '%Y%m%d') <= '19970131' AND (o_orderstatus = 'O' OR
     "ranked_exact": _ranked_sql(RANKED),
     "ranked_inexact": _ranked_sql(RANKED, _candidates_sql(32)),
     "ranked_inexact_topup": _ranked_sql(LOW_DF, _candidates_sql(SMALL_R - 3)),
-    "kv_get_latest": f"WITH {_LOG}, {_CUR} SELECT key, value, seq FROM c WHERE NOT gone AND key = '00000008'",
+    "kv_get_latest": f"WITH {_LOG}, {_CUR} SELECT key, value, seq FROM c WHERE NOT gone AND key = '{LIVE}'",
+    "kv_get_deleted": f"WITH {_LOG}, {_CUR} SELECT key, value, seq FROM c WHERE NOT gone AND key = '{DELETED}'",
+    "kv_get_many": f"WITH {_LOG}, {_CUR} SELECT key, value, seq FROM c WHERE NOT gone AND key IN (SELECT key FROM lg WHERE seq % 10 = 0)",
+    "kv_keys": f"WITH {_LOG}, {_CUR} SELECT key FROM c WHERE NOT gone",
+    "index_build": _k("SELECT (SELECT n FROM n) AS docs, (SELECT count(*) FROM v) AS terms, (SELECT count(*) FROM p) AS postings"),
+    "corpus_stats": _k("SELECT (SELECT n FROM n) AS docs, (SELECT count(*) FROM v) AS terms, (SELECT count(*) FROM p) AS postings"),
+    "champions_saved": _k("SELECT term, rn::INT AS rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY tf DESC, doc_id DESC) rn FROM p) WHERE rn <= 32"),
+    "positional_merge": _k("SELECT term, doc_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions, count(*)::INT AS tf FROM k GROUP BY term, doc_id"),
+    "merge_compaction": _k("SELECT term AS key, doc_id AS member FROM p"),
+    "streamed_postings": _k("SELECT term, doc_id, tf FROM p"),
     "kv_range_scan": f"WITH {_LOG}, {_CUR} SELECT key, value, seq FROM c WHERE NOT gone AND key BETWEEN '00000010' AND '00000120' ORDER BY key LIMIT 64",
     "kv_compact": f"WITH {_LOG}, {_CUR} SELECT key, value, seq FROM c WHERE NOT gone",
     "kv_newest_window": f"WITH {_LOG}, {_CUR} SELECT key, seq, value, gone AS is_delete FROM c",

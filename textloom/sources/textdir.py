@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.scratch import Scratch
+
 SUFFIXES = ("txt", "md", "py")
 SCHEMA = "doc_id bigint, path string, text string, date string, start_date string, end_date string"
 
@@ -30,29 +32,46 @@ def read(spark: SparkSession, path: str, any_suffix: bool = False) -> DataFrame:
 def numbered(rows: DataFrame, key: str, first: int = 0, name: str = "doc_id") -> DataFrame:
     """rows with dense ids from ``first`` in the order of ``key``.
 
-    The global order is a range partitioning; each partition's offset is the count of those before it
-    (one number per partition on the driver), so no task ever sees all rows.
+    Rows are range-partitioned by the key, sorted, and written once to the shared folder, each with its
+    partition and its place there; ids come from that table, so sizes and rows can't stem from two
+    different partitionings. A partition's offset is the count of those before it (one number per
+    partition on the driver); no task ever sees all rows.
     """
-    part = rows.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    part = part.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    sizes = sorted((r["_p"], r["n"]) for r in part.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())
+    placed = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_place", F.monotonically_increasing_id())
+    table = Scratch(rows.sparkSession).save(placed, "numbered")
+    part = F.shiftrightunsigned("_place", 33)
+    sizes = sorted((r["p"], r["n"]) for r in table.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     start, at = [], first
     for p, n in sizes:
         start.append((p, at))
         at += n
-    offsets = rows.sparkSession.createDataFrame(start, "_p int, _o bigint")
-    return part.join(offsets, "_p").withColumn(name, F.col("_o") + F.col("_n") - 1).drop("_p", "_n", "_o")
+    offsets = rows.sparkSession.createDataFrame(start, "_part bigint, _offset bigint")
+    place = F.col("_place").bitwiseAND((1 << 33) - 1)
+    # one row per partition of the table: bounded, whatever the rows
+    return table.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + place).drop("_part", "_offset", "_place")
+
+
+def _undated(rows: DataFrame) -> DataFrame:
+    empty = {c: F.lit(None).cast("string") for c in ("date", "start_date", "end_date")}
+    return rows.withColumns(empty).select("doc_id", "path", "text", *empty)
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """The folder as a documents table, ids by path order, dates null."""
-    empty = {c: F.lit(None).cast("string") for c in ("date", "start_date", "end_date")}
-    return numbered(read(spark, path), "path").withColumns(empty).select("doc_id", "path", "text", *empty)
+    return _undated(numbered(read(spark, path), "path"))
 
 
 def new_documents(spark: SparkSession, known: DataFrame, path: str, any_suffix: bool = False) -> DataFrame:
     """Documents below the path whose path isn't known yet, with ids after the largest known one."""
     top = known.agg(F.max("doc_id")).first()[0]
     fresh = read(spark, path, any_suffix).join(known.select("path"), "path", "left_anti")
-    empty = {c: F.lit(None).cast("string") for c in ("date", "start_date", "end_date")}
-    return numbered(fresh, "path", 0 if top is None else top + 1).withColumns(empty).select("doc_id", "path", "text", *empty)
+    return _undated(numbered(fresh, "path", 0 if top is None else top + 1))
+
+
+def reread(spark: SparkSession, docs: DataFrame, folders: list[str]) -> DataFrame:
+    """docs with the text that their files below the folders hold now; a document whose file is gone is left out."""
+    found = None
+    for f in folders:
+        rows = read(spark, f, any_suffix=True)
+        found = rows if found is None else found.union(rows)
+    return docs.drop("text").join(found.dropDuplicates(["path"]), "path").select(*docs.columns) if folders else docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,3 +26,13 @@ def stream_kv(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         batch.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    """The postings that ``stream_postings`` has written so far, merged: (term, doc_id, positions, tf)."""
+    return ix.merge_postings(spark.read.parquet(path).select("term", "doc_id", "positions"))
+
+
+def read_kv(spark: SparkSession, path: str) -> DataFrame:
+    """The log that ``stream_kv`` has written so far: (key, value, seq, is_delete)."""
+    return spark.read.parquet(path).select("key", "value", "seq", "is_delete")
