@@ -2,68 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.scratch import Scratch, shared_root
+
+__all__ = ["Scratch", "bounded_sample", "fold", "release_memory", "shared_root"]
+
 #: A word of the mixing and near-duplicate contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables in the shared folder that cut lineage and survive lost executors.
-
-    Tables that a lazy result still needs stay until the interpreter ends; loops drop those
-    they have replaced at once.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_root(spark)}/textloom-{uuid.uuid4().hex}", {}
-        atexit.register(self.close)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-
-    def save(self, df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
-        path, schema = self.path(name), df.schema
-        df.write.option("compression", compression).parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        self.paths[id(out)] = (path, out)
-        return out
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-    def drop(self, df: DataFrame) -> None:
-        if found := self.paths.pop(id(df), None):
-            self._delete(found[0])
-
-    def close(self) -> None:
-        try:
-            if self.spark.sparkContext._jsc is not None:
-                self._delete(self.root)
-        except Exception:  # noqa: BLE001  the session is gone; the folder's owner cleans up
-            pass
-        atexit.unregister(self.close)
-
-
 def fold(key: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
