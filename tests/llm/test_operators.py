@@ -59,6 +59,23 @@ def test_toxicity(spark, odd, none):
     assert 0 <= op01_toxicity.fit(docs, labels.limit(0)).score(["any", None, ""])[1] <= 1
 
 
+def test_toxicity_of_held_out_documents(spark):
+    """No word is given: what the labels outside the fold teach is enough for the fold."""
+    d = "/root/testdata/sf0.1"
+    got = queries.toxicity(spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
+    pos, neg = got[got.toxic == 1], got[got.toxic == 0]
+    wins = (pos.score.to_numpy()[:, None] > neg.score.to_numpy()[None, :]).mean()
+    assert len(pos) > 80 and wins > 0.98 and pos.predicted.mean() > 0.88 and neg.predicted.mean() < 0.01
+
+
+def test_repeated_ids_teach_once(spark):
+    rows = [(i % 40, f"text {i} " + ("vile " * 5 if i % 2 else "calm")) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (None, 1), (5, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (op01_toxicity.fit(x, labels).score(["so vile", "calm", None, ""]) for x in (docs, docs.union(docs).repartition(7)))
+    assert (one == two).all() and one[2] == one[3]
+
+
 def test_lexicon_does_not_depend_on_partitions(spark):
     rng = np.random.default_rng(3)
     texts = [(" ".join([*(f"common{j}" for j in rng.choice(30, 5, replace=False)), *(["vile"] if i % 10 == 0 else [])]), int(i % 10 == 0)) for i in range(400)]
@@ -68,7 +85,7 @@ def test_lexicon_does_not_depend_on_partitions(spark):
 
 
 def test_hidden_spellings():
-    flags = op01_toxicity.Flags(op01_toxicity.Lexicon(frozenset(op01_toxicity.INSULTS), frozenset()))
+    flags = op01_toxicity.Flags(op01_toxicity.Lexicon(frozenset({"idiot"}), frozenset()))
     assert flags["idiot,"] & op01_toxicity.HIT and flags["1d1ot"] & op01_toxicity.HIDDEN and flags["id.i.ot"] & op01_toxicity.HIDDEN
     assert op01_toxicity.features("you i d i o t now", flags)[-1] > 0
 
@@ -107,10 +124,28 @@ def test_mixing(spark, odd, none):
     rows = op02_mixing.mix(odd, Scratch(spark)).collect()
     assert len(rows) == len(ODD) and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")).alias("source"))
+    taken = op02_mixing.take(docs, Scratch(spark))
+    assert taken.columns == docs.columns
+    counts = lambda df, n: {(r["doc_id"], r["source"]): r["n"] for r in df.groupBy("doc_id", "source").agg(n.alias("n")).filter("n > 0").collect()}
+    assert counts(taken, F.count(F.lit(1))) == counts(op02_mixing.mix(docs, Scratch(spark)), F.sum("copies"))
     by = op02_mixing.mix(docs, Scratch(spark)).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.max("size").alias("m")).collect()
     assert all(abs(r["t"] - r["w"]) <= r["m"] for r in by)
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Null and repeated ids, and equal rows, are told apart; an id in two sources counts for each."""
+    rows = [(None, f"w{i} x y z", "a", i) for i in range(1000)] + [(7, "same text again", "b", i) for i in range(900)] + [(i % 9, f"t{i} u v", s, i) for i in range(300) for s in ("c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int").repartition(5)
+    out = op02_mixing.mix(docs, Scratch(spark))
+    by = out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.max("size").alias("m")).collect()
+    assert len(by) == 4 and all(abs(r["t"] - r["w"]) <= r["m"] for r in by) and out.filter("taken > 2 * size").count() == 0
+    taken = op02_mixing.take(docs, Scratch(spark))
+    words = {r["source"]: r["n"] for r in taken.groupBy("source").agg(F.sum(op02_mixing.size(F.col("text"))).alias("n")).collect()}
+    assert words == {r["source"]: r["t"] for r in by} and taken.groupBy("row", "source").count().filter("count > 2").count() == 0
+    again = op02_mixing.mix(docs.repartition(3), Scratch(spark))
+    assert sorted((r["source"], r["t"]) for r in again.groupBy("source").agg(F.sum("taken").alias("t")).collect()) == sorted((r["source"], r["t"]) for r in by)
+
+
 # op3
 def brute_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

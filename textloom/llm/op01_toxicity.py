@@ -1,13 +1,14 @@
 """Toxicity: boosted trees over dense features, calibrated by isotonic regression.
 
 Features are densities of a learned lexicon (words and word beginnings that mark toxic training
-texts, beside a short fixed list of insults), how near hits stand to second-person words, and
-rates of capitals, punctuation and obfuscated spellings. One dictionary lookup per token turns a
-text into a string of flag bytes; everything else is arithmetic on those bytes.
-
-Training: labels give a bounded sample (``per_class`` rows of either class). Two folds of it teach
-the lexicon, the other two the trees, so the trees see lexicon hits as they will be on new texts.
-Out-of-fold scores of the trees are calibrated. Scoring is one narrow pass without a shuffle.
+texts; none is given), how near hits stand to second-person words, and rates of capitals,
+punctuation and obfuscated spellings. One dictionary lookup per token turns a text into a string
+of flag bytes; everything else is arithmetic on those bytes.
+
+Training: labels give a bounded sample (``per_class`` documents of either class). Each half of it
+teaches a lexicon that describes the other half, so the trees see lexicon hits as they will be on
+new texts; the model's own lexicon is then learned from both. Out-of-fold scores of the trees are
+calibrated. Scoring is one narrow pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,11 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_sample, fold
+from textloom.llm.common import Scratch, bounded_sample, fold
 from textloom.llm.trees import Boosted, Isotonic
 
-# Common insults, and second-person words of the four languages.
-INSULTS = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb fool garbage jerk".split()
+# Second-person words of the four languages.
 SECOND = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti usted tus vosotros".split()
 # Characters that stand for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"})
@@ -157,7 +157,7 @@ def learn_lexicon(rows: DataFrame, size: int = 4000) -> Lexicon:
     base = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {int(r["toxic"]): r["n"] for r in base}
     pos, neg = n.get(1, 0), n.get(0, 0)
-    strong, weak = set(INSULTS), set()
+    strong, weak = set(), set()
     if pos and neg:
         t, c = F.col("toxic"), F.col("clean")
         rate, all_rate = t / (t + c), pos / (pos + neg)
@@ -188,11 +188,13 @@ class Model:
         return self.calibration.predict(self.trees.raw(self.matrix(texts))) if texts else np.zeros(0)
 
 
-def _extract(lexicon: Lexicon):
+def _extract(lexicons: tuple[Lexicon, Lexicon]):
+    """Features of the sampled texts, by the lexicon of the half that a text is not in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = Flags(lexicon)
+        flags = [Flags(x) for x in lexicons]
         for b in batches:
-            x = [features(t, flags) for t in b.column("text").to_pylist()]
+            x = [features(t, flags[1 - h]) for t, h in zip(b.column("text").to_pylist(), b.column("half").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
 
     return run
@@ -201,18 +203,20 @@ def _extract(lexicon: Lexicon):
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = 6000) -> Model:
     """Learn from labelled documents outside the held-out fold.
 
-    The sample is bounded by ``per_class`` labels of either class (ids and labels only, so it may
-    be broadcast). Rows with a null label or id, and labels without document, teach nothing; of
-    contradictory labels of a document the toxic one counts. Without both classes the score is
-    the share of toxic labels.
+    The sample is bounded by about ``per_class`` labelled documents of either class: at most 2 x per_class
+    rows of (id, label) are broadcast, and as many texts and feature rows reach trees and driver. Rows with
+    a null label or id, and labels without document, teach nothing; of contradictory labels of a document
+    the toxic one counts; of rows that repeat an id the least text teaches. Without both classes the score
+    is the share of toxic labels.
     """
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(fold(F.col("doc_id"), folds) != held_out)
     few = F.broadcast(bounded_sample(known, "toxic", per_class))
-    rows = docs.select("doc_id", "text").join(few, "doc_id")
-    half = fold(F.col("doc_id"), folds) % 2 == 1
-    lexicon = learn_lexicon(rows.filter(half).select("text", "toxic"))
-    table = rows.filter(~half).select("doc_id", "toxic", "text").mapInArrow(_extract(lexicon), "doc_id long, toxic int, x array<double>").toPandas()
+    half = (F.pmod(F.xxhash64(F.lit("half"), F.col("doc_id")), F.lit(2))).cast("int").alias("half")
+    one = docs.select("doc_id", "text").join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = Scratch(docs.sparkSession).save(one.select("doc_id", "toxic", half, "text"), "labelled")
+    halves = tuple(learn_lexicon(rows.filter(F.col("half") == h).select("text", "toxic")) for h in (0, 1))
+    table = rows.mapInArrow(_extract(halves), "doc_id long, toxic int, x array<double>").toPandas()
     table = table.sort_values("doc_id", kind="stable")
     x = np.array(table["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     y = table["toxic"].to_numpy(np.float64)
@@ -222,7 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, p
     for k in range(4):
         if (part != k).any() and (part == k).any():
             out[part == k] = Boosted().fit(x[part != k], y[part != k]).raw(x[part == k])
-    return Model(lexicon, trees, Isotonic().fit(out, y))
+    return Model(learn_lexicon(rows.select("text", "toxic")), trees, Isotonic().fit(out, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -89,7 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _MIX = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+  ('0x' || substr(md5(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) || ':' ||
+    (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT source, n, (CASE i % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS w, 2.0::DOUBLE * n AS cap FROM s),
 o AS (SELECT *, cap / w AS full_at, 1.5::DOUBLE * sum(n) OVER () AS budget,
