@@ -170,20 +170,52 @@ def test_fingerprint(text):
     assert op03_simhash.fingerprint(text.encode("utf-8", "ignore")) == brute_fingerprint(text.encode("utf-8", "ignore").decode())
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_links(spark, hot):
-    """Chains and balls of near fingerprints, with the refinement of hot buckets off and on."""
+@pytest.mark.parametrize("crowded", [128, 1])
+def test_links(spark, crowded):
+    """Chains and balls of near fingerprints, with the finer table off and on."""
     rng = np.random.default_rng(7)
     base = [int(x) for x in rng.integers(0, 2**63, 12)]
     fps = sorted({b ^ sum(1 << int(k) for k in rng.integers(0, 64, n)) for b in base for n in (0, 1, 2, 3, 4, 2, 1)} | {0, 1, 3, 7, 15, 31})
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
     s = Scratch(spark)
-    roots = {r["node"]: r["root"] for r in components(op03_simhash.links(df, s, hot), s).collect()}
+    roots = {r["node"]: r["root"] for r in components(op03_simhash.links(df, s, crowded), s).collect()}
     want = brute_classes(fps)
     mine = [roots.get(int(np.uint64(f).view(np.int64)), int(np.uint64(f).view(np.int64))) for f in fps]
     assert all((want[i] == want[j]) == (mine[i] == mine[j]) for i in range(len(fps)) for j in range(i))
 
 
+@given(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), min_size=0, max_size=2))
+@settings(max_examples=200, deadline=None)
+def test_near_fingerprints_share_a_cell(fp, bits):
+    """The lattice argument behind the join key, and the bound that every pivot's distance obeys."""
+    other = fp
+    for b in bits:
+        other ^= 1 << b
+    cell = lambda x: [(x.bit_count() - (x ^ p).bit_count() + op03_simhash.BLOCK) // 2 for p in op03_simhash.BLOCKS]
+
+    def sent(x):
+        at = cell(x)
+        return {tuple(at), *(tuple(at[:i] + [at[i] + s] + at[i + 1 :]) for i in range(16) for s in (1, -1) if 0 <= at[i] + s <= op03_simhash.BLOCK)}
+
+    assert sent(fp) & sent(other)
+    far = op03_simhash.table(np.array([fp, other], np.uint64)).astype(int)
+    assert (abs(far[0] - far[1]) <= 2).all()
+
+
+def test_cells_give_the_links_of_brute_force(spark):
+    """Cells of all sizes, on fingerprints crowded into few bits so that cells overlap."""
+    rng = np.random.default_rng(2)
+    fps = np.unique(rng.integers(0, 2**13, 240, dtype=np.uint64) << np.uint64(20))
+    links = {tuple(sorted(e)) for e in op03_simhash.cell_links(fps)}
+    assert all((a ^ b).bit_count() <= 2 for a, b in links)
+    s = Scratch(spark)
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    roots = {r["node"]: r["root"] for r in components(op03_simhash.links(df, s), s).collect()}
+    want = brute_classes([int(f) for f in fps])
+    mine = [roots.get(int(f), int(f)) for f in fps]
+    assert len(set(zip(want, mine, strict=True))) == len(set(want)) == len(set(mine))
+
+
 def test_simhash_query(spark, odd, none):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas()
     fps = [brute_fingerprint(t) for t in docs.text]

@@ -1,27 +1,26 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Each text gets a 64-bit SimHash of its word shingles. To link fingerprints within ``RADIUS`` bits
-without comparing all, distances to fixed reference fingerprints (pivots) are used: by the triangle
-inequality two linked fingerprints differ by at most RADIUS in each coordinate.
-
-* The key pivots are the zero fingerprint and one pivot per bit, in four groups of 16. A differing
-  bit changes, against the zero pivot, only its own pivot's coordinate; two differing bits touch at
-  most two groups, so linked fingerprints have no coordinate difference in at least two groups.
-  Pairs are discarded wholesale by joining on the coordinates of two groups (six keys each). As
-  each such coordinate is +-1, a group's coordinates pack into 16 bits.
-* Inside a bucket, further pivots (dense random patterns) discard by the largest coordinate
-  difference, window by window, and survivors are verified by their Hamming distance.
-
-Distinct fingerprints only are joined, so any number of copies counts once. A bucket of more than
-``hot`` fingerprints is keyed again by two of four 8-bit groups of its other bits (same
-argument), which bounds it by 2^16 rows, however large the input. A bucket yields a spanning
-forest, at most one edge per fingerprint, never all pairs.
+Each text gets a 64-bit SimHash of its word shingles. Every distinct fingerprint gets a row of Hamming
+distances to fixed reference fingerprints (pivots). By the triangle inequality two fingerprints
+within ``RADIUS`` bits differ by at most RADIUS in each distance, and pairs with a larger coordinate
+difference are never compared:
+
+* Key pivots are the zero fingerprint and one pivot for each of 16 blocks of four bits, all ones there. A
+  block's distance less the zero pivot's takes five values, and a differing bit moves one of the 16
+  by one step. These quantized coordinates are a fingerprint's cell. Each fingerprint is sent to its
+  cell and the cells one step away (33 at most): two fingerprints two steps apart meet in a cell between.
+* Inside a cell, pairs are discarded by the difference of their distances to the zero pivot, then by the
+  largest difference over ``DENSE`` random pivots, and survivors verified by their Hamming distance.
+
+Only distinct fingerprints are joined, so any number of copies counts once. Cells beside a crowded one
+(see ``crowded``) are split by a finer table with one key pivot per bit: coordinates then tell the
+fingerprint itself, and a cell holds at most 65, all of them linked. A cell yields a spanning forest or, with
+eight fingerprints or fewer, its links; never all pairs of a large group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,14 @@ from textloom.llm.common import Scratch
 from textloom.llm.components import components
 
 RADIUS, WORDS, SEED = 2, 3, 42
-#: Dense pivots for the tests inside a bucket.
-PIVOTS = np.random.default_rng(20240607).integers(0, 2**64, 8, dtype=np.uint64)
+BLOCK = 4
+#: Key pivots: all ones in a block.
+BLOCKS = [((1 << BLOCK) - 1) << at for at in range(0, 64, BLOCK)]
+#: Dense pivots for the tests inside a cell.
+DENSE = 32
+PIVOTS = np.random.default_rng(20240607).integers(0, 2**64, DENSE, dtype=np.uint64)
+#: Cells of up to so many fingerprints are compared pair by pair, larger ones breadth first.
+FEW = 8
 
 
 def fingerprint(text: bytes | None, words: int = WORDS) -> int:
@@ -76,29 +81,60 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _bits(fp: Column, shift: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1)
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _keys(fp: Column, groups: list[int], width: int) -> Column:
-    """array<struct<pair, key>>: the packed coordinates of each two groups that start at these bits."""
-    return F.array(
-        *[F.struct(F.lit(i).alias("pair"), F.shiftleft(_bits(fp, a, width), width).bitwiseOR(_bits(fp, b, width)).alias("key")) for i, (a, b) in enumerate(combinations(groups, 2))]
-    )
+def distance(fp: Column, pivot: int) -> Column:
+    """Hamming distance to a reference fingerprint."""
+    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot)).cast("long")))
 
 
-def bucket_links(fps: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the distinct fingerprints of one bucket.
+def coordinates(fp: Column) -> list[Column]:
+    """The quantized distances to the key pivots, 0 to BLOCK each: how far a block's pivot is nearer than the zero pivot."""
+    zero = distance(fp, 0)
+    return [F.floor((zero - distance(fp, p) + BLOCK) / 2).cast("long") for p in BLOCKS]
+
+
+def _cell(at: Column) -> Column:
+    """The number of a cell, one digit for each coordinate of an array."""
+    return F.aggregate(at, F.lit(0).cast("long"), lambda n, c: n * (BLOCK + 1) + c)
+
+
+def _beside(cell: Column, at: Column) -> Column:
+    """array<long>: the cell, and those one step away along a coordinate."""
+    weights = F.array(*[F.lit((BLOCK + 1) ** (len(BLOCKS) - 1 - i)).cast("long") for i in range(len(BLOCKS))])
+    up = F.filter(F.zip_with(at, weights, lambda c, w: F.when(c < BLOCK, cell + w)), lambda x: x.isNotNull())
+    down = F.filter(F.zip_with(at, weights, lambda c, w: F.when(c > 0, cell - w)), lambda x: x.isNotNull())
+    return F.concat(F.array(cell), up, down)
+
+
+def table(fps: np.ndarray) -> np.ndarray:
+    """Distances of fingerprints to the dense pivots."""
+    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+
+
+def _near(fps: np.ndarray, zero: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs (i, j) are linked: by zero pivot, dense pivots a few at a time, then exactly."""
+    left = np.flatnonzero(np.abs(zero[i] - zero[j]) <= RADIUS)
+    for k in range(0, DENSE, 8):
+        a, b = fps[i[left]], fps[j[left]]
+        p = PIVOTS[None, k : k + 8]
+        apart = np.abs(np.bitwise_count(a[:, None] ^ p).astype(np.int8) - np.bitwise_count(b[:, None] ^ p).astype(np.int8)).max(1, initial=0)
+        left = left[apart <= RADIUS]
+    return left[np.bitwise_count(fps[i[left]] ^ fps[j[left]]) <= RADIUS]
+
+
+def cell_links(fps: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the distinct fingerprints of one cell.
 
     Breadth first: each fingerprint is compared with those not reached yet, first by the window of
     its distance to the zero pivot, then by its largest coordinate difference, then exactly.
     """
-    if len(fps) == 2:
-        return [(int(fps[0]), int(fps[1]))] if int(np.bitwise_count(fps[0] ^ fps[1])) <= RADIUS else []
     zero = np.bitwise_count(fps).astype(np.int16)
     order = np.argsort(zero, kind="stable")
     fps, zero = fps[order], zero[order]
-    table = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+    far = table(fps)
     todo, out = np.arange(len(fps)), []
     while len(todo):
         queue, todo = [todo[0]], todo[1:]
@@ -106,7 +142,7 @@ def bucket_links(fps: np.ndarray) -> list[tuple[int, int]]:
             i = queue.pop()
             low, high = np.searchsorted(zero[todo], [zero[i] - RADIUS, zero[i] + RADIUS + 1])
             near = todo[low:high]
-            near = near[np.abs(table[near] - table[i]).max(1, initial=0) <= RADIUS]
+            near = near[np.abs(far[near] - far[i]).max(1, initial=0) <= RADIUS]
             near = near[np.bitwise_count(fps[near] ^ fps[i]) <= RADIUS]
             if len(near):
                 out += [(int(fps[i]), int(fps[j])) for j in near]
@@ -115,59 +151,74 @@ def bucket_links(fps: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _links_of(cell: np.ndarray, fps: np.ndarray) -> Iterator[np.ndarray]:
+    """(n, 2) arrays of linked fingerprints, for rows sorted by cell."""
+    if len(fps) < 2:
+        return
+    new = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+    starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(fps)]])
+    size = ends - starts
+    small = (size > 1) & (size <= FEW)
+    zero = np.bitwise_count(fps).astype(np.int16)
+    first, stop = starts[small], ends[small]
+    for a in range(FEW - 1):
+        for b in range(a + 1, FEW):
+            here = first[first + b < stop]
+            if not len(here):
+                break
+            i, j = here + a, here + b
+            ok = _near(fps, zero, i, j)
+            yield np.column_stack([fps[i[ok]], fps[j[ok]]])
+        first, stop = first[first + a + 1 < stop], stop[first + a + 1 < stop]
+    for k in np.flatnonzero(size > FEW):
+        yield np.array(cell_links(fps[starts[k] : ends[k]]), np.uint64).reshape(-1, 2)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of all buckets of a partition that is sorted by bucket."""
-    held_key = np.zeros((0, 4), np.int64)
-    held_fp = np.zeros(0, np.uint64)
-
-    def close(key: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
-        if len(fp) < 2:
-            return []
-        new = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        starts, ends = np.concatenate([[0], new]), np.concatenate([new, [len(fp)]])
-        many = np.flatnonzero(ends - starts > 1)
-        return [e for i in many for e in bucket_links(fp[starts[i] : ends[i]])]
-
-    def batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-        a = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+    """Edges of all cells of a partition that is sorted by cell."""
+    cell, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def batch(found: Iterator[np.ndarray]) -> pa.RecordBatch:
+        a = np.concatenate([np.zeros((0, 2), np.uint64), *found])
+        a = np.unique(np.sort(a.view(np.int64), axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
 
     for b in batches:
-        key = np.column_stack([b.column(c).to_numpy() for c in ("pair", "key", "pair2", "key2")]).astype(np.int64)
-        key = np.concatenate([held_key, key])
-        fp = np.concatenate([held_fp, b.column("fp").to_numpy().view(np.uint64)])
-        if not len(fp):
-            continue
-        other = np.flatnonzero((key != key[-1]).any(1))
+        cell = np.concatenate([cell, b.column("cell").to_numpy()])
+        fps = np.concatenate([fps, b.column("fp").to_numpy().view(np.uint64)])
+        other = np.flatnonzero(cell != cell[-1]) if len(cell) else cell
         cut = other[-1] + 1 if len(other) else 0
         if cut:
-            yield batch(close(key[:cut], fp[:cut]))
-        held_key, held_fp = key[cut:], fp[cut:]
-    yield batch(close(held_key, held_fp))
-
-
-def links(distinct: DataFrame, scratch: Scratch, hot: int = 4096) -> DataFrame:
-    """(u, v): edges that connect exactly the fingerprints linked by chains of at most RADIUS bits."""
-    first = distinct.select("fp", F.explode(_keys(F.col("fp"), [0, 16, 32, 48], 16)).alias("k")).select("fp", "k.*")
-    large = first.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("pair", "key")
-    large = scratch.save(large, "hot")
-    none = [F.lit(0).alias("pair2"), F.lit(0).cast("long").alias("key2")]
-    if large.isEmpty():
-        keyed = first.select("fp", "pair", "key", *none)
-    else:
-        cold = first.join(large, ["pair", "key"], "left_anti").select("fp", "pair", "key", *none)
-        again = first.join(large, ["pair", "key"], "left_semi")
-        rest = F.lit(None)
-        for i, (a, b) in enumerate(combinations([0, 16, 32, 48], 2)):
-            free = [g for g in (0, 16, 32, 48) if g not in (a, b)]
-            rest = F.when(F.col("pair") == i, _keys(F.col("fp"), [s for g in free for s in (g, g + 8)], 8)).otherwise(rest)
-        again = again.select("fp", "pair", "key", F.explode(rest).alias("k2")).select("fp", "pair", "key", F.col("k2.pair").alias("pair2"), F.col("k2.key").alias("key2"))
-        keyed = cold.unionByName(again)
-    dealt = keyed.repartition("pair", "key", "pair2", "key2").sortWithinPartitions("pair", "key", "pair2", "key2")
-    return dealt.mapInArrow(_linked, "u long, v long")
-
-
-def classes(docs: DataFrame, scratch: Scratch, hot: int = 4096) -> DataFrame:
+            yield batch(_links_of(cell[:cut], fps[:cut]))
+            cell, fps = cell[cut:], fps[cut:]
+    yield batch(_links_of(cell, fps))
+
+
+def _fine(fps: DataFrame) -> DataFrame:
+    """Edges among fingerprints by one key pivot per bit: those one step from a common cell are linked to its least."""
+    steps = F.concat(F.array(F.lit(0).cast("long")), F.array(*[F.lit(_signed(1 << k)).cast("long") for k in range(64)]))
+    sent = fps.select("fp", F.explode(F.transform(steps, lambda k: F.col("fp").bitwiseXOR(k))).alias("cell"))
+    held = sent.groupBy("cell").agg(F.min("fp").alias("u"), F.array_distinct(F.collect_list("fp")).alias("all"))  # 65 at most
+    return held.filter(F.size("all") > 1).select("u", F.explode("all").alias("v")).filter("u <> v")
+
+
+def links(distinct: DataFrame, scratch: Scratch, crowded: int = 128) -> DataFrame:
+    """(u, v): edges that connect exactly the fingerprints linked by chains of at most RADIUS bits.
+
+    A cell gets fingerprints from itself and 32 others. If none of these holds more than ``crowded``, it has at
+    most 33 x crowded; all cells beside a crowded one are split by the finer table.
+    """
+    homes = distinct.select("fp", F.array(*coordinates(F.col("fp"))).alias("at")).withColumn("home", _cell(F.col("at")))
+    many = homes.groupBy("home", "at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded)
+    many = scratch.save(many.select(F.explode(_beside(F.col("home"), F.col("at"))).alias("cell")).distinct(), "crowded")
+    sent = homes.select("fp", F.explode(_beside(F.col("home"), F.col("at"))).alias("cell"))
+    split = not many.isEmpty()
+    kept = sent.join(many, "cell", "left_anti") if split else sent
+    edges = kept.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked, "u long, v long")
+    return edges.union(_fine(sent.join(many, "cell", "left_semi").select("fp").distinct())) if split else edges
+
+
+def classes(docs: DataFrame, scratch: Scratch, crowded: int = 128) -> DataFrame:
     """(doc_id, fp, component_id) of every row.
 
     component_id is the smallest doc_id reachable by links, the document's own included. Texts
@@ -176,7 +227,7 @@ def classes(docs: DataFrame, scratch: Scratch, hot: int = 4096) -> DataFrame:
     """
     rows = scratch.save(fingerprints(docs), "fps")
     distinct = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(scratch.save(links(distinct, scratch, hot), "links"), scratch)
+    roots = components(scratch.save(links(distinct, scratch, crowded), "links"), scratch)
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = scratch.save(named.join(lowest, "root").select("fp", "component_id"), "ids")
