@@ -29,15 +29,16 @@ def read(spark: SparkSession, path: str, any_suffix: bool = False) -> DataFrame:
     return files.mapInArrow(_decode, "path string, text string")
 
 
-def numbered(rows: DataFrame, key: str, first: int = 0, name: str = "doc_id") -> DataFrame:
-    """rows with dense ids from ``first`` in the order of ``key``.
+def numbered(rows: DataFrame, key: str | list[str], first: int = 0, name: str = "doc_id") -> DataFrame:
+    """rows with dense ids from ``first`` in the order of ``key``, one column or several.
 
     Rows are range-partitioned by the key, sorted, and written once to the shared folder, each with its
     partition and its place there; ids come from that table, so sizes and rows can't stem from two
     different partitionings. A partition's offset is the count of those before it (one number per
     partition on the driver); no task ever sees all rows.
     """
-    placed = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_place", F.monotonically_increasing_id())
+    by = [key] if isinstance(key, str) else key
+    placed = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
     table = Scratch(rows.sparkSession).save(placed, "numbered")
     part = F.shiftrightunsigned("_place", 33)
     sizes = sorted((r["p"], r["n"]) for r in table.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
