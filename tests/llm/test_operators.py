@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.oracle import same
-from textloom.llm import op01_toxicity, op02_mixing, op03_simhash, op04_topk, op05_chat, op06_language, op07_html, op08_tokens, op09_decontaminate, op10_substrings, queries
+from textloom.llm import lcs, op01_toxicity, op02_mixing, op03_simhash, op04_topk, op05_chat, op06_language, op07_html, op08_tokens, op09_decontaminate, op10_substrings, queries
 from textloom.llm.common import Scratch, bounded_sample
 from textloom.llm.components import components
 from textloom.llm.trees import Boosted, Isotonic
@@ -237,6 +237,19 @@ def test_topk_odd(spark):
     got = op04_topk.search(spark.createDataFrame(rows, schema), Scratch(spark), k=3).orderBy("rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 1), (0, 2), (0, 2)]
     assert op04_topk.search(spark.createDataFrame([], schema), Scratch(spark)).count() == 0
+    big = [(0, [], 1), (5, [], 1), (100, [3e38, 1.0], 1), (7, [3e38, -1.0], 1), (8, [-3e38, 0.0], 1), (9, [1e-3, 2.0], 1), (200, [1.0, 1.0], 1)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in op04_topk.search(spark.createDataFrame(big, schema), Scratch(spark)).collect()}
+    assert got[0, 1] == (5, 0) and (0, 2) not in got and got[100, 1] == (7, op04_topk.LIMIT) and got[100, 4] == (8, -op04_topk.LIMIT) and got[200, 1][1] == op04_topk.LIMIT
+    assert got[200, 3] == (9, 1024 + 2048 * 1024) and len(got) == 9
+
+
+@given(st.lists(st.lists(st.integers(-(2**40), 2**40), min_size=3, max_size=3), min_size=1, max_size=6), st.sampled_from([1, 2**20]))
+@settings(max_examples=60, deadline=None)
+def test_products_are_exact(rows, scale):
+    a = np.array(rows, np.int64)
+    a[0] *= scale
+    want = [[max(-op04_topk.LIMIT, min(op04_topk.LIMIT, sum(int(x) * int(y) for x, y in zip(q, v)))) for v in a] for q in a]
+    assert op04_topk.products(a, a).tolist() == want
 
 
 # op5
@@ -273,6 +286,16 @@ def test_language(spark, odd, none):
     assert op06_language.classify(none, op06_language.fit(none)).count() == 0
 
 
+def test_language_without_ids(spark):
+    """Rows of one id or none teach like any others, and copies of a text once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("doc_id", F.when(F.col("lang") != "en", None).otherwise(8).cast("long"))
+    model = op06_language.fit(docs.union(docs))
+    assert sorted(model.dictionaries) == ["de", "en", "es", "fr"] and model.dictionaries == op06_language.fit(docs.repartition(9)).dictionaries
+    assert all(1000 < len(d) < 1.05 * op06_language.DICTIONARY for d in model.dictionaries.values())
+    long = spark.createDataFrame([(1, "abc " * 200_000, "xx")], "doc_id long, text string, lang string")
+    assert len(op06_language.fit(long).dictionaries["xx"]) <= op06_language.DICTIONARY
+
+
 # op7
 def test_html(spark):
     pages = spark.read.parquet(f"{DATA}/pages.parquet").toPandas()
@@ -288,10 +311,80 @@ def test_page_differencing(spark):
     rows = [
         (1, "http://a.b/x/1", page("<p>One &amp; only</p><p>Two</p>"), 0), (2, "http://a.b/x/2", page("<p>Other  text</p><div id=comments>Nice</div>"), 0), (3, None, None, 0),
         (4, "http://a.b/x/2?z", "", 0), (5, "http://c.d/", "<article><header><h1>T</h1>by</header>b<script>x</script><form>f</form><!-- c --></article><aside>s</aside>", 0), (6, "http://c.d/", "<p>cut <b", 0),
+        (7, "http://e.f/1", "<div>Top</div><article><p>Brand</p><p>Mine</p><p>Quote</p><p>End one</p></article>", 0),
+        (8, "http://e.f/2", "<div>Top</div><article><p>Brand</p><p>Yours</p><p>Quote</p><p>End two</p></article>", 0), (1, "http://a.b/x/1", page("<p>One &amp; only</p><p>Two</p>"), 0),
     ]
-    got = {r["page_id"]: r["text"] for r in op07_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, tie int")).collect()}
-    assert got == {1: "One & only Two", 2: "Other text", 3: "", 4: "", 5: "T b", 6: "cut"}
-    assert op07_html.shared(list("abcbdab"), list("bdcaba")) and len(op07_html.shared(list("abcbdab"), list("bdcaba"))) == 4
+    got = [(r["page_id"], r["text"]) for r in op07_html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, key int"), Scratch(spark)).collect()]
+    assert sorted(got) == [(1, "One & only Two"), (1, "One & only Two"), (2, "Other text"), (3, ""), (4, ""), (5, "T b"), (6, "cut"), (7, "Mine Quote End one"), (8, "Yours Quote End two")]
+    assert op07_html.extract(spark.createDataFrame([], "page_id long, url string, html string"), Scratch(spark)).count() == 0
+
+
+def brute_deleted(own, near):
+    """Differencing by the textbook table: lengths of common subsequences of all beginnings."""
+    def common(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    lines, kinds, sizes = own
+    for other in near:
+        kept = list(range(len(lines)))
+        for i in range(len(lines)):  # a line is shared if the rest has a shorter common subsequence
+            less = [x for x in kept if x != i]
+            if common([lines[x] for x in less], other) == common([lines[x] for x in kept], other):
+                kept = less
+        if sum(sizes[i] for i in kept if kinds[i]) <= 0.8 * sum(n for n, k in zip(sizes, kinds) if k):
+            return kept
+    return []
+
+
+def test_differencing_is_the_brute_force_one_on_any_partitions(spark):
+    """Pages of one host without containers, their order and the table by brute force; equal at 1, 8 and 64 partitions."""
+    rng = np.random.default_rng(4)
+    chrome = ["Site", "Menu a", "Menu b", "Legal", "Contact"]
+    rows = []
+    for i in range(90):
+        body = [f"text {i} {j}" for j in range(rng.integers(3, 6))] if i % 7 else rows[-1][3] if rows else ["first"]
+        top = chrome[: rng.integers(2, 4)]
+        rows.append((i, f"http://h.i/{i // 10}/{i}", "".join(f"<div>{t}</div>" for t in [*top, *body, *chrome[3:]]), body))
+    docs = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = [sorted((r["page_id"], r["text"]) for r in op07_html.extract(docs.repartition(n), Scratch(spark)).collect()) for n in (1, 8, 64)]
+    assert got[0] == got[1] == got[2]
+    key = lambda r: (r[1].removeprefix("http://h.i"), hashlib.md5(f"{r[1]}\0{r[2]}".encode()).hexdigest())
+    order = sorted(rows, key=key)
+    parsed = [op07_html.lines(r[2]) for r in order]
+    table = [("h.i", key(r)[0], p[0]) for r, p in zip(order, parsed, strict=True)]
+    want = []
+    for i, r in enumerate(order):
+        gone = set(brute_deleted(parsed[i], op07_html.nearest(table, i)))
+        want.append((r[0], " ".join(t for j, (_, t) in enumerate(op07_html.blocks(r[2])) if j not in gone)))
+    assert got[0] == sorted(want) and sum("Site" in t for _, t in want) < 5
+
+
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12), st.sampled_from([1 << 28, 20]))
+@settings(max_examples=150, deadline=None)
+def test_common_subsequences(a, b, table):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+    old, lcs.TABLE = lcs.TABLE, table
+    try:
+        x = [a[i] for i in sorted(lcs.shared(a, b))]
+    finally:
+        lcs.TABLE = old
+    rest = iter(b)
+    assert len(x) == t[-1][-1] and all(c in rest for c in x)
+
+
+def test_repeated_lines_are_aligned_fast():
+    import time
+
+    began = time.time()
+    assert len(lcs.shared(["x"] * 10_000, ["x"] * 9_000 + ["y"])) == 9_000
+    assert len(lcs.shared(["x", "y"] * 5_000, ["y", "x", "x"] * 3_000)) >= 6_000 and time.time() - began < 2
 
 
 # op8

@@ -7,8 +7,9 @@ to it, the smallest ids. A task's histogram ends at its own kth best score: the
 be lower, so a task sends at most k buckets a query.
 
 Queries go in blocks of ``block`` vectors, the only thing that is sent to all tasks. Scores are
-exact: products run in float64 while a bound shows that they stay below 2^53, in int64 below 2^63,
-and in Python integers beyond.
+exact: products run in float64 while a bound shows that they stay below 2^53, in int64 below 2^63;
+vectors beyond that run in Python integers, each for itself. A score is a long: beyond ``LIMIT`` either
+way it counts as LIMIT.
 """
 
 from __future__ import annotations
@@ -23,14 +24,18 @@ from pyspark.sql import functions as F
 from textloom.llm.common import Scratch
 
 STEP = 11  # bits that a round of refinement adds
+LIMIT = 1 << 60
 
 
 def usable(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, v): vectors as whole numbers floor(scale * x), without those that are null or hold a null or non-finite component."""
+    """(vec_id, v): vectors as whole numbers floor(scale * x), without those that are null or hold a null or non-finite component.
+
+    Components beyond 2^62 either way count as 2^62. An empty vector is one of no components.
+    """
     x = F.col("embedding").cast("array<double>")
     fine = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(fine)
-    return rows.select("vec_id", F.transform(x, lambda c: F.floor(c * float(scale)).cast("long")).alias("v"))
+    return rows.select("vec_id", F.transform(x, lambda c: F.floor(F.greatest(F.least(c * float(scale), F.lit(2.0**62)), F.lit(-(2.0**62)))).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray | None:
@@ -38,18 +43,23 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray | None:
     flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
     lengths = np.diff(offsets)
     if (lengths == width).all():
-        return flat.reshape(-1, width)
+        return flat.reshape(len(lengths), width)
     return None
 
 
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact inner products, queries by vectors, as int64."""
-    bound = int(np.abs(q).max(initial=0)) * int(np.abs(v).max(initial=0)) * q.shape[1]
-    if bound < 2**53:
+    """Exact inner products, queries by vectors, as int64 within LIMIT."""
+    top = int(np.abs(q).max(initial=0)) * q.shape[1]
+    each = np.abs(v).max(1, initial=0)
+    if top * int(each.max(initial=0)) < 2**53:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    if bound < 2**63:
-        return q @ v.T
-    raise OverflowError("inner products exceed 64 bits")
+    wide = np.array([top * int(x) >= 2**63 for x in each], bool)
+    out = np.zeros((len(q), len(v)), np.int64)
+    out[:, ~wide] = q @ v[~wide].T
+    if wide.any():
+        exact = q.astype(object) @ v[wide].astype(object).T
+        out[:, wide] = np.minimum(np.maximum(exact, -LIMIT), LIMIT).astype(np.int64)
+    return np.clip(out, -LIMIT, LIMIT)
 
 
 class _Pass:
@@ -69,7 +79,7 @@ class _Pass:
                 if m is None:  # vectors of other lengths can't be compared with these queries
                     same = np.array([len(x) == width for x in column])
                     ids, column = ids[same], column.filter(pa.array(same))
-                    m = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
                 s = products(self.q, m)
                 s[self.ids[:, None] == ids[None, :]] = np.iinfo(np.int64).min
                 yield ids, s
@@ -123,12 +133,10 @@ class _Filter(_Pass):
 
 def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     """Top-k rows of one block of queries, ranked."""
-    spread = int(np.abs(q).sum(1).max(initial=0))
+    spread = max((sum(abs(int(x)) for x in row) for row in q), default=0)
     top = rows.agg(F.max(F.expr("array_max(transform(v, x -> abs(x)))"))).first()[0] or 0
-    reach = int(spread) * int(top) + 1
+    reach = min(spread * int(top), LIMIT) + 1
     bits = max(1, (2 * reach).bit_length())
-    if bits > 62:
-        raise OverflowError("inner products exceed 62 bits")
     n = len(ids)
     low, width, need = np.full(n, -reach, np.int64), np.full(n, bits, np.int64), np.full(n, k, np.int64)
     open_ = np.ones(n, bool)
@@ -162,8 +170,10 @@ def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame
 def search(vectors: DataFrame, scratch: Scratch, every: int = 100, k: int = 10, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of each query, ties to the smaller vec_id.
 
-    Queries are the rows whose id is divisible by ``every``. Candidates are all rows but those with
-    the query's id. Of repeated rows of a query's id, the one with the smallest vector asks.
+    Queries are the rows whose id is divisible by ``every``. Candidates are all rows of the query's length but
+    those with the query's id; empty vectors score 0 against each other. Of repeated rows of a query's id,
+    the one with the smallest vector asks; repeated candidates each take a rank. Rows without an id, and
+    vectors that are null or hold a null or non-finite component, take no part; a query without candidates has no row.
     """
     rows = scratch.save(usable(vectors), "vectors")
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))

@@ -1,29 +1,29 @@
 """Language ID by compression with per-language zstandard dictionaries.
 
-Every learned language has a raw-content dictionary: a bounded sample of its texts. A text is
-reduced to lower-case letters and single spaces and cut into pieces of ``PIECE`` bytes (else a long text would serve as its own dictionary), each piece is
-compressed with each dictionary, and the language with the smallest total wins. The margin to the
-second decides about rejection. Scoring is one narrow pass without a shuffle.
+Every learned language has a raw-content dictionary: a bounded sample of its texts, whole. A text is
+reduced to lower-case letters and single spaces and cut into pieces of ``PIECE`` bytes (else a long text
+would serve as its own dictionary), each piece of it is compressed with each dictionary, and the language
+with the smallest total wins. The margin to the second decides about rejection. Scoring is one narrow pass
+without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_sample, fold
+from textloom.llm.common import Scratch, bounded_sample, fold
 
 PIECE, LEVEL = 8192, 5
-#: Bounds of the training sample: documents for each language, bytes of a document, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY = 400, 1024, 32768
+#: Bounds of the training sample: different texts considered for each language, bytes of those that are taken.
+SAMPLE_DOCS, DICTIONARY = 400, 262144
 #: A text is rejected if the best total is not at least this share below the second.
 MARGIN = 0.01
 LETTER = re.compile(r"[^\W\d_]")
@@ -43,7 +43,7 @@ def _pieces(raw: bytes) -> list[bytes]:
 
 @dataclass
 class Model:
-    """Dictionary bytes by language, in the order of the language names."""
+    """Dictionary bytes by language, the language of most training texts first: it wins where totals are equal."""
 
     dictionaries: dict[str, bytes]
     compressors: list | None = field(default=None, repr=False)
@@ -78,42 +78,34 @@ class Model:
 def fit(docs: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     """Learn from documents with a language outside the held-out fold.
 
-    The sample is bounded by SAMPLE_DOCS documents of each language, from ids and languages alone;
-    only its text is read, SAMPLE_BYTES from the middle of each, and dictionaries hold DICTIONARY bytes.
-    A second step drops sampled texts that the other texts' dictionaries assign elsewhere.
+    Equal texts of a language teach once, whatever their ids. Of each language about SAMPLE_DOCS different
+    texts are chosen by a hash of the text, and of these, in hash order, whole ones while they fit DICTIONARY
+    bytes together; these bytes are all that the driver sees of a language. Only of a language that has no text
+    as short as that, one text's first DICTIONARY characters are taken. Null texts and languages teach nothing.
     """
+    scratch = Scratch(docs.sparkSession)
     known = docs.filter("lang is not null and text is not null").filter(fold(F.col("doc_id"), folds) != held_out)
-    few = bounded_sample(known.select("doc_id", "lang", "text"), "lang", SAMPLE_DOCS)
-    n = SAMPLE_BYTES
-    middle = F.substring("text", F.greatest(F.lit(1), F.floor(F.length("text") / 2).cast("int") - n // 2), F.lit(n))
-    # bounded: SAMPLE_DOCS rows of SAMPLE_BYTES characters for each language
-    rows = few.select("doc_id", "lang", middle.alias("part")).orderBy("lang", F.xxhash64("doc_id"), "part").collect()
+    h = F.xxhash64("text").alias("h")
+    slim = known.select("lang", h, F.octet_length("text").alias("bytes")).groupBy("lang", "h").agg(F.max("bytes").alias("bytes"))
+    slim = scratch.save(slim, "texts")
+    counts = {r["lang"]: r["n"] for r in slim.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    order = Window.partitionBy("lang").orderBy(F.col("bytes") > DICTIONARY, F.xxhash64(F.lit("order"), "h"), "h")  # some SAMPLE_DOCS rows each
+    few = bounded_sample(slim, "lang", SAMPLE_DOCS, "h").withColumn("upto", F.sum("bytes").over(order)).withColumn("rank", F.row_number().over(order))
+    few = scratch.save(few.filter((F.col("upto") <= DICTIONARY) | (F.col("rank") == 1)).select("lang", "h"), "chosen")
+    # bounded: SAMPLE_DOCS rows of a language
+    texts = known.select("lang", h, "text").join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     by: dict[str, list[bytes]] = {}
-    for r in rows:
-        by.setdefault(r["lang"], []).append(reduced(r["part"]))
-    pure = _purified(by) if len(by) > 1 else by
-    return Model({k: _dictionary(pure[k]) for k in sorted(pure)})
-
-
-def _dictionary(parts: list[bytes]) -> bytes:
-    return b" ".join(parts)[-DICTIONARY:] or b" "
-
-
-def _purified(by: dict[str, list[bytes]], grams: int = 4) -> dict[str, list[bytes]]:
-    """The sampled texts whose byte n-grams are commonest among their own language's other texts."""
-    cut = lambda p: {p[i : i + grams] for i in range(len(p) - grams + 1)}
-    counts = {k: Counter(g for p in parts for g in cut(p)) for k, parts in by.items()}
-
-    def fits(lang: str, part: bytes) -> bool:
-        own = cut(part)
-        score = {k: sum(np.log((c[g] - (k == lang) + 0.5) / (len(by[k]) - (k == lang) + 1)) for g in own) for k, c in counts.items()}
-        return max(score, key=score.get) == lang
-
-    return {k: [p for p in parts if fits(k, p)] or parts for k, parts in by.items()}
+    for r in texts.select("lang", "h", F.substring("text", 1, DICTIONARY).alias("text")).orderBy("lang", "h").collect():
+        by.setdefault(r["lang"], []).append(reduced(r["text"]))
+    return Model({k: b" ".join(by[k]) or b" " for k in sorted(by, key=lambda k: (-counts[k], k))})
 
 
 def classify(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
-    """(doc_id, lang_pred, score, margin, rejected): one row per row of docs, whatever its text."""
+    """(doc_id, lang_pred, score, margin, rejected): one row per row of docs, repeated rows and null ids included.
+
+    Null texts and texts without a letter are ``und``, score 0. Where totals are equal the language of more
+    training texts is predicted, with score 0.5 and margin 0, so such a text is rejected.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

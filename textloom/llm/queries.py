@@ -59,7 +59,7 @@ def language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html(spark: SparkSession, d: str) -> DataFrame:
-    return op07_html.extract(_table(spark, d, "pages"))
+    return op07_html.extract(_table(spark, d, "pages"), Scratch(spark))
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
