@@ -3,20 +3,22 @@
 A gear hash rolls over the bytes of a text (words joined by one space); at the end of a word where
 it is the least of some ``VIEW`` successive word ends, a chunk ends. Cuts depend on nearby bytes
 only, so chunks resist insertions before them, and none is longer than ``VIEW`` words, whatever the
-text. From every chunk start, the run of whole chunks of at least ``RUN_WORDS`` words gets a digest;
-a digest that occurs in two documents marks a passage they share. Marked runs are merged to spans,
-which are extended word by word as far as they agree with another document that holds the run at
-that end. Spans of at least ``SPAN_WORDS`` words are reported; no run is as long as that, so a chance
-collision reports nothing.
+text. Each chunk gets one digest, and only chunks whose digest occurs again, anywhere, go on:
+
+* Successive repeated chunks of a text are joined to runs of at least ``RUN_WORDS`` words, which a short chunk
+  alone (a common word) doesn't make. A run that occurs again has a partner, the first place that
+  holds it (for the first place, the last one).
+* Runs of a text with one partner at one distance make a stretch. A stretch is extended word by word at both ends
+  as far as both places agree. Stretches of at least ``SPAN_WORDS`` words are repeats.
 
 A hash depends on 16 bytes (at most 7 words of a passage come before its first shared hash), so two
-copies of a passage have the same cuts but for 7 + VIEW words at its start and VIEW + 1 at its end.
-A run from the first shared cut ends inside if the passage has 7 + 4 VIEW - 2 + RUN_WORDS = 49 words
-or more, and from the outermost marked runs fewer than 3 VIEW words are left to either end.
+copies of a passage have the same cuts from the least of its first VIEW shared word ends to that of its last VIEW. These
+are RUN_WORDS words or more apart, and the passage has a run, if it has 6 + 2 VIEW + RUN_WORDS = 50 words or more;
+fewer than 3 VIEW words are left to either end.
 
-The repeated digests are found by a grouped count with map-side combine, so the commonest passage
-is one row per task; the joins that mark runs and look up words have one row per repeated digest or
-place on the right, so AQE can split the commonest there. Spans are merged per document.
+Chunks and runs are counted with map-side combine, so the commonest passage is one row per task; the joins
+that mark them and look up words have one row per digest or place on the right, so AQE can split the
+commonest there. What follows is grouped by text.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch
 
-RUN_WORDS, SPAN_WORDS, VIEW = 16, 24, 7
+VIEW, RUN_WORDS, SPAN_WORDS = 16, 12, 48
 #: These bits of the hash depend on 16 bytes.
 CUT_MASK = 0xFFFF
-#: Words beside a marked run that may belong to the passage.
+#: Words beside a stretch that may belong to the passage.
 BESIDE = 3 * VIEW
 GEAR = np.random.default_rng(20240613).integers(0, 2**32, 256, dtype=np.uint32)
+#: An odd number has an inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+UNBASE = pow(BASE, -1, 1 << 64)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -71,109 +76,187 @@ def chunks(text: bytes | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], ends[cut] + 1, [len(data) + 1]]), np.concatenate([[0], cut + 1, [words]])
 
 
-def runs(text: bytes | None) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """(digests, first words, end words) of the runs of chunks of at least RUN_WORDS words from every chunk start."""
-    data, at, word = chunks(text)
-    if word[-1] < RUN_WORDS:
-        return [], word[:0], word[:0]
-    end = np.searchsorted(word, word[:-1] + RUN_WORDS)
-    first = np.flatnonzero(end < len(word))
-    end = end[first]
-    digest = xxhash.xxh3_64_intdigest
-    return [digest(data[a : b - 1]) for a, b in zip(at[first].tolist(), at[end].tolist(), strict=True)], word[first], word[end]
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, row, doc_id, first, end) of every chunk."""
+    digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        texts, ids = b.column("text").cast(pa.binary()), b.column("doc_id").to_pylist()
+        texts, ids = b.column("text").cast(pa.binary()), b.column("doc_id")
         for low in range(0, b.num_rows, 256):
-            digests, docs, first, end = [], [], [], []
-            for d, t in zip(ids[low : low + 256], texts.slice(low, 256), strict=True):
-                h, a, z = runs(t.as_py())
-                digests += h
-                docs.append(np.full(len(h), d, np.int64))
-                first.append(a)
-                end.append(z)
-            cat = lambda x: pa.array(np.concatenate(x).astype(np.int32))
+            digests, counts, first, end = [], [], [], []
+            for t in texts.slice(low, 256):
+                data, at, word = chunks(t.as_py())
+                if not data:
+                    counts.append(0)
+                    continue
+                edges = at.tolist()
+                digests += [digest(data[x : y - 1]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+                counts.append(len(edges) - 1)
+                first.append(word[:-1])
+                end.append(word[1:])
+            which = pa.array(np.repeat(np.arange(low, low + len(counts)), counts))
+            cat = lambda x: pa.array(np.concatenate([np.zeros(0), *x]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(digests, np.uint64).view(np.int64)), pa.array(np.concatenate(docs)), cat(first), cat(end)], ["digest", "doc_id", "first", "end"]
+                [pa.array(np.array(digests, np.uint64).view(np.int64)), b.column("row").take(which), ids.take(which), cat(first), cat(end)], ["digest", "row", "doc_id", "first", "end"]
             )
 
 
+def run_digests(digest: np.ndarray, row: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk number, last chunk number, digest) of the shortest run of RUN_WORDS words or more from each chunk.
+
+    Chunks come in the order of (row, first); a run goes on while one chunk ends where the next begins. Its digest
+    is the sum of the chunks' digests times powers of BASE, brought to the power of its first chunk.
+    """
+    n = len(digest)
+    if not n:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != end[:-1])])
+    group = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    last = np.append(starts[1:], n)[group]  # chunk after the stretch
+    # a position that grows over all stretches, so that one search serves them all
+    size = end - first
+    at = np.concatenate([[0], np.cumsum(size)])
+    stop = np.searchsorted(at, at[:-1] + RUN_WORDS)
+    ok = np.flatnonzero(stop <= last)
+    one = np.ones(1, np.uint64)
+    power, back = (np.multiply.accumulate(np.concatenate([one, np.full(n, x, np.uint64)])) for x in (BASE, UNBASE))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digest.view(np.uint64) * power[:n], dtype=np.uint64)])
+    h = (total[stop[ok]] - total[ok]) * back[ok]
+    return ok, stop[ok] - 1, h ^ (h >> np.uint64(29)) * np.uint64(BASE)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(run, row, doc_id, first, end) of a partition of repeated chunks, sorted by text and place."""
+    names, held = ("digest", "row", "doc_id", "first", "end"), None
+
+    def of(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        col = {c: t.column(c).to_numpy() for c in names if c != "doc_id"}
+        a, z, h = run_digests(col["digest"], col["row"], col["first"].astype(np.int64), col["end"].astype(np.int64))
+        ids = t.column("doc_id").take(pa.array(a)).combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else pa.array([], pa.int64()) if isinstance(ids, pa.ChunkedArray) else ids
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(col["row"][a]), ids, pa.array(col["first"][a]), pa.array(col["end"][z])], ["run", "row", "doc_id", "first", "end"])
+
+    for b in batches:
+        t = pa.Table.from_batches([b.select(names)])
+        t = t if held is None else pa.concat_tables([held, t])
+        row = t.column("row").to_numpy()
+        other = np.flatnonzero(row != row[-1]) if len(row) else row
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield of(t.slice(0, cut))
+        held = t.slice(cut)
+    if held is not None and held.num_rows:
+        yield of(held)
+
+
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, at, side, words): the words before (side 0, nearest first) or after (side 1) each place of a text."""
+    """(row, at, side, words): the words before (side 0, nearest first) or after (side 1) each place of a text."""
     for b in batches:
         out = []
-        for d, t, places in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()), b.column("places").to_pylist(), strict=True):
+        for d, t, places in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()), b.column("places").to_pylist(), strict=True):
             words = (t.as_py() or b"").split()
             out += [(d, p["at"], p["side"], words[p["at"] : p["at"] + BESIDE] if p["side"] else words[max(0, p["at"] - BESIDE) : p["at"]][::-1]) for p in places]
-        doc, at, side, near = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(near, pa.list_(pa.binary()))], ["doc", "at", "side", "words"])
+        row, at, side, near = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(near, pa.list_(pa.binary()))], ["row", "at", "side", "words"])
 
 
-def _numbered(pieces: DataFrame) -> DataFrame:
-    """pieces (doc_id, first, end) with the number of the span that overlapping or adjoining ones of a document make up."""
-    by_doc = Window.partitionBy("doc_id").orderBy("first", "end")
-    reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+def _islands(pieces: DataFrame, *by: str) -> DataFrame:
+    """pieces (first, end) with the number of the stretch that overlapping or adjoining ones of a group make up."""
+    order = Window.partitionBy(*by).orderBy("first", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = pieces.withColumn("new", F.coalesce((F.col("first") > reach).cast("int"), F.lit(1)))
-    return new.withColumn("span", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def _extended(docs: DataFrame, marked: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, first, end, first_doc): spans of marked runs, as far as they agree with another document at either end."""
-    other = F.when(F.col("doc_id") == F.col("first_doc"), F.col("last_doc")).otherwise(F.col("first_doc"))
-    spans = _numbered(marked.withColumn("other", other)).groupBy("doc_id", "span")
-    spans = spans.agg(
-        F.min("first").alias("first"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc"), F.min_by("digest", "first").alias("digest0"),
-        F.min_by("other", "first").alias("other0"), F.max_by("digest", "end").alias("digest1"), F.max_by("other", "end").alias("other1"),
-    )
-    spans = scratch.save(spans, "spans")
-    sides = [spans.select("doc_id", "span", F.lit(i).alias("side"), F.col(at).alias("at"), F.col(f"digest{i}").alias("digest"), F.col(f"other{i}").alias("other")) for i, at in enumerate(("first", "end"))]
-    held = marked.filter("doc_id in (first_doc, last_doc)").groupBy("digest", F.col("doc_id").alias("other")).agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("first", "end") for f in (F.min, F.max)))
-    edges = sides[0].unionByName(sides[1]).join(held, ["digest", "other"])
-    outer = [F.array_distinct(F.array(f"min_{c}", f"max_{c}")) for c in ("first", "end")]  # a run that repeats itself has several places
-    edges = scratch.save(edges.select("doc_id", "span", "side", "at", "other", F.explode(F.when(F.col("side") == 0, outer[0]).otherwise(outer[1])).alias("other_at")), "edges")
-    places = edges.select(F.col("doc_id").alias("doc"), "at", "side").union(edges.select("other", "other_at", "side")).distinct()
-    places = places.groupBy("doc").agg(F.collect_list(F.struct("at", "side")).alias("places"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(places, "doc")
-    words = scratch.save(texts.mapInArrow(_beside, "doc long, at int, side int, words array<binary>"), "words")
-    own = words.select(F.col("doc").alias("doc_id"), "at", "side", F.col("words").alias("own"))
-    theirs = words.select(F.col("doc").alias("other"), F.col("at").alias("other_at"), "side", F.col("words").alias("theirs"))
-    pairs = edges.join(own, ["doc_id", "at", "side"]).join(theirs, ["other", "other_at", "side"])
-    same = F.zip_with("own", "theirs", lambda x, y: x.eqNullSafe(y))
-    differ = F.array_position(same, False)
-    agree = pairs.withColumn("more", F.when(differ > 0, differ - 1).otherwise(F.size(same)).cast("int"))
-    more = agree.groupBy("doc_id", "span").agg(*(F.max(F.when(F.col("side") == i, F.col("more"))).alias(f"more{i}") for i in (0, 1)))
-    grown = spans.join(more, ["doc_id", "span"], "left")
-    return grown.select("doc_id", (F.col("first") - F.coalesce("more0", F.lit(0))).alias("first"), (F.col("end") + F.coalesce("more1", F.lit(0))).alias("end"), "first_doc")
-
-
-def shared_passages(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, start, n_words, first_doc_id): spans of a document that occur in other documents as well.
-
-    start and n_words count words; first_doc_id is the smallest id of a document that holds a run of
-    the span. Rows without a doc_id are left out, as nothing could point to them; rows that repeat a
-    doc_id count as one document. Texts under RUN_WORDS words have no runs. An end of a span is where
-    it stops to agree with one other document that holds its outermost run (the one with the smallest
-    id, or for that one the one with the largest).
+    return new.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+
+
+def _row() -> Column:
+    return F.xxhash64(F.lit("text"), "doc_id", F.coalesce("text", F.lit(""))).alias("row")
+
+
+def _grown(docs: DataFrame, stretches: DataFrame, scratch: Scratch) -> DataFrame:
+    """stretches (row, first, end, prow, delta) with ``before`` and ``after``: words that agree with the partner beyond either end."""
+    sides = [stretches.select("row", "prow", "delta", "first", F.lit(i).alias("side"), F.col(at).alias("at")) for i, at in enumerate(("first", "end"))]
+    ends = sides[0].unionByName(sides[1]).withColumn("pat", (F.col("at") - F.col("delta")).cast("int"))
+    places = ends.select("row", "at", "side").union(ends.select("prow", "pat", "side")).distinct()
+    places = places.groupBy("row").agg(F.collect_list(F.struct("at", "side")).alias("places"))
+    texts = docs.select(_row(), "text").join(places, "row").dropDuplicates(["row"])
+    words = scratch.save(texts.mapInArrow(_beside, "row long, at int, side int, words array<binary>"), "words")
+    own = words.withColumnRenamed("words", "own")
+    theirs = words.select(F.col("row").alias("prow"), F.col("at").alias("pat"), "side", F.col("words").alias("theirs"))
+    differ = F.array_position(F.zip_with("own", "theirs", lambda x, y: x.eqNullSafe(y)), False)
+    pairs = ends.join(own, ["row", "at", "side"]).join(theirs, ["prow", "pat", "side"])
+    more = pairs.withColumn("more", F.when(differ > 0, differ - 1).otherwise(F.least(F.size("own"), F.size("theirs"))).cast("int"))
+    more = more.groupBy("row", "prow", "delta", "first").agg(*(F.max(F.when(F.col("side") == i, F.col("more"))).alias(c) for i, c in enumerate(("before", "after"))))
+    return stretches.join(more, ["row", "prow", "delta", "first"], "left").na.fill(0, ["before", "after"])
+
+
+def repeats(docs: DataFrame, scratch: Scratch, span_words: int = SPAN_WORDS) -> DataFrame:
+    """(row, doc_id, start, stop, first_doc_id, first_start, is_first): every stretch of span_words words or more that another place holds as well.
+
+    A place comes before another by doc_id (null last), then by text, then by word. ``is_first`` marks the first place
+    of its runs: first_doc_id is then its own, else the document of the earlier place, where the same words
+    start at first_start. Places are in texts of different documents or in one text. Rows equal in id
+    and text are one document and share ``row``; null and empty texts have no chunks.
+    """
+    slim = docs.select("doc_id", "text")
+    found = scratch.save(slim.select(_row(), "doc_id", "text").mapInArrow(_rows, "digest long, row long, doc_id long, first int, end int"), "chunks")
+    again = scratch.save(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "digests")
+    marked = found.join(again, "digest", "left_semi").repartition("row").sortWithinPartitions("row", "first")
+    # rows equal in id and text repeat their chunks in place
+    run = scratch.save(marked.mapInArrow(_distinct_runs, "run long, row long, doc_id long, first int, end int"), "runs")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "first")
+    held = run.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"), F.max(place).alias("tail")).filter("n > 1").drop("n")
+    at = run.join(scratch.save(held, "held"), "run")
+    is_first = (F.col("row") == F.col("lead.row")) & (F.col("first") == F.col("lead.first"))
+    other = F.when(is_first, F.col("tail")).otherwise(F.col("lead"))
+    at = at.select("row", "doc_id", "first", "end", is_first.alias("is_first"), other["row"].alias("prow"), other["doc_id"].alias("pdoc"), (F.col("first") - other["first"]).alias("delta"))
+    joined = _islands(at, "row", "prow", "delta", "is_first").groupBy("row", "doc_id", "prow", "pdoc", "delta", "is_first", "island")
+    stretches = scratch.save(joined.agg(F.min("first").alias("first"), F.max("end").alias("end")).drop("island"), "stretches")
+    grown = _grown(slim, stretches, scratch)
+    out = grown.withColumn("start", F.col("first") - F.col("before")).withColumn("stop", F.col("end") + F.col("after")).filter(F.col("stop") - F.col("start") >= span_words)
+    own = lambda mine, theirs: F.when(F.col("is_first"), mine).otherwise(theirs)
+    return out.select(
+        "row", "doc_id", "start", "stop", own(F.col("doc_id"), F.col("pdoc")).alias("first_doc_id"), own(F.col("start"), F.col("start") - F.col("delta")).cast("int").alias("first_start"), "is_first"
+    )
+
+
+def _distinct_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_runs of the chunks, each place once."""
+
+    def once() -> Iterator[pa.RecordBatch]:
+        row, first = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            r, f = b.column("row").to_numpy(), b.column("first").to_numpy()
+            same = np.concatenate([[r[0] == row and f[0] == first], (r[1:] == r[:-1]) & (f[1:] == f[:-1])])
+            row, first = r[-1], f[-1]
+            yield b.filter(pa.array(~same))
+
+    yield from _runs(once())
+
+
+def shared_passages(docs: DataFrame, scratch: Scratch, span_words: int = SPAN_WORDS) -> DataFrame:
+    """(doc_id, start, n_words, first_doc_id): passages of span_words words or more of a document that occur again, there or elsewhere.
+
+    start and n_words count words; overlapping repeats of a text are one passage, and first_doc_id is the smallest id of
+    a document that holds an earlier or the first copy of part of it. A document without an id has rows with a null doc_id.
+    Ties cannot change a row; the nulls and repeated rows are as ``repeats`` says.
     """
-    docs = docs.filter("doc_id is not null").select("doc_id", "text")
-    found = scratch.save(docs.mapInArrow(_rows, "digest long, doc_id long, first int, end int"), "runs")
-    counted = found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    repeated = scratch.save(counted.filter("first_doc < last_doc"), "repeated")
-    marked = scratch.save(found.join(repeated, "digest"), "marked")
-    spans = _numbered(_extended(docs, marked, scratch))
-    out = spans.groupBy("doc_id", "span").agg(F.min("first").alias("start"), F.max("end").alias("stop"), F.min("first_doc").alias("first_doc_id"))
-    return out.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "first_doc_id").filter(F.col("n_words") >= SPAN_WORDS)
+    spans = _islands(repeats(docs, scratch, span_words).select("row", "doc_id", F.col("start").alias("first"), F.col("stop").alias("end"), "first_doc_id"), "row")
+    out = spans.groupBy("row", "doc_id", "island").agg(F.min("first").alias("start"), F.max("end").alias("stop"), F.min("first_doc_id").alias("first_doc_id"))
+    return out.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "first_doc_id")
 
 
-def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the spans cut from every document but the first that holds them; other texts are unchanged.
+def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the repeats that ``repeats`` found: every stretch but the first place of its words is cut, stretch by stretch.
 
-    A cut text keeps its other words, joined by single spaces.
+    Each cut word stands in an earlier place as well, so the earliest copy of every word stays. A cut text keeps its other
+    words, joined by single spaces; other texts, rows and columns are unchanged. Rows equal in id and text are one document.
     """
-    cut_at = spans.filter("doc_id <> first_doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_words")).alias("stop"))).alias("_cuts"))
+    cut_at = found.filter("not is_first").groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    whole = docs.select(F.struct("*").alias("doc"), "text", _row())
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    kept = F.filter(words, lambda w, i: ~F.exists("_cuts", lambda c: (i >= c["start"]) & (i < c["stop"])))
-    joined = docs.join(cut_at, "doc_id", "left")
-    return joined.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(*docs.columns)
+    kept = F.filter(words, lambda w, i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["stop"])))
+    joined = whole.join(cut_at, "row", "left").select("doc", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"))
+    return joined.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
