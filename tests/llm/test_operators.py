@@ -443,14 +443,45 @@ def test_masks_meet_every_window_with_two_substitutions():
         assert any(not p & set(changed) for p in placed), changed
 
 
+@pytest.mark.parametrize("n", range(1, 13))
+def test_short_items_are_found_with_every_substitution(n):
+    """All substitutions up to the stated share, at any place of a text; one more is too many."""
+    item = [f"word{i}" for i in range(n)]
+    index = op09_decontaminate.Index([(1, " ".join(item))])
+    lost = n - math.ceil(0.8 * n - 1e-9)
+    for k in range(lost + 2):
+        for changed in combinations(range(n), min(k, n)):
+            text = " ".join(["a", "b", *("other" if i in changed else w for i, w in enumerate(item)), "c"])
+            assert bool(index.overlaps(text)) == (len(changed) <= lost), changed
+
+
+def test_overlaps_with_substitutions_by_brute_force():
+    """Random texts over few words, items of all lengths: every window that agrees in 80 % is found, and no other."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(14)]
+    for _ in range(60):
+        items = [(i, " ".join(rng.choice(words, rng.integers(1, 22)))) for i in range(6)]
+        text = list(rng.choice(words, 60))
+        t = items[3][1].split()
+        at = int(rng.integers(0, 60 - len(t)))
+        text[at : at + len(t)] = ["x" if rng.random() < 0.15 else w for w in t]
+        want = set()
+        for i, item in items:
+            w = item.split()
+            n = min(13, len(w))
+            if any(sum(w[a + k] == text[b + k] for k in range(n)) >= 0.8 * n - 1e-9 for a in range(len(w) - n + 1) for b in range(len(text) - n + 1)):
+                want.add(i)
+        assert {r[0] for r in op09_decontaminate.Index(items).overlaps(" ".join(text))} == want
+
+
 def test_decontamination(spark, odd, none):
     item = " ".join(f"word{i}" for i in range(30))
     swapped = " ".join("other" if i % 9 == 4 else f"Word{i}," for i in range(30))
     bench = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "", "x"), (4, "tiny item", "x")], "item_id long, text string, doc_id string")
     docs = spark.createDataFrame([(1, f"a b c {item} d", 0), (2, f"q {swapped}", 0), (3, " ".join(f"word{i}" for i in range(0, 30, 2)), 0), (4, None, 0), (5, "tiny item", 0)], "doc_id long, text string, item_id int")
     got = {r["doc_id"]: (r["item_id"], r["start"]) for r in op09_decontaminate.overlaps(docs, bench).collect()}
-    assert got == {1: (1, 3), 2: (1, 1)}
-    assert sorted(r["doc_id"] for r in op09_decontaminate.clean(docs, bench).collect()) == [3, 4, 5]
+    assert got == {1: (1, 3), 2: (1, 1), 5: (4, 0)}
+    assert sorted(r["doc_id"] for r in op09_decontaminate.clean(docs, bench).collect()) == [3, 4]
     assert op09_decontaminate.overlaps(odd, bench.limit(0)).count() == 0 and op09_decontaminate.overlaps(none, bench).count() == 0
     assert op09_decontaminate.clean(odd, bench).count() == len(ODD)
 

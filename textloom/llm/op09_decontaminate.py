@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: 1: the position counts, 0: it is ignored. Six positions count in each.
-MASKS = ("111111", "11010111", "1100100111", "10101010101", "111001011")
+MASKS = ("11010111", "1100100111", "10101010101", "111001011")
 WINDOW, SIMILARITY = 13, 0.8
 BLOCK_TOKENS = 200_000
 #: Marks that don't count at a word's ends.
@@ -52,22 +52,33 @@ class _Ids(dict):
         return out
 
 
-def _codes(ids: np.ndarray, mask: int) -> np.ndarray:
+def masks_of(n: int) -> list[np.ndarray]:
+    """The counted positions of each mask for an item of n tokens.
+
+    Long items have MASKS. A shorter one may lose ``lost`` of its positions to substitutions: its positions are dealt
+    in turn to lost + 1 masks, so one of these is untouched.
+    """
+    if n >= WINDOW:
+        return _OFFSETS
+    lost = n - int(np.ceil(SIMILARITY * n - 1e-9))
+    return [np.arange(0, n - r, lost + 1) for r in range(lost + 1)]
+
+
+def _codes(ids: np.ndarray, o: np.ndarray) -> np.ndarray:
     """A 20-bit code of three counted positions of every window."""
-    o = _OFFSETS[mask]
     n = max(0, len(ids) - int(o[-1]))
-    a, b, c = (ids[int(o[k]) : int(o[k]) + n] for k in (0, 3, 5))
+    a, b, c = (ids[int(o[k]) : int(o[k]) + n] for k in (0, len(o) // 2, -1))
     return ((a * 40503) ^ (b * 30011) ^ c) & 0xFFFFF
 
 
-def _seeds(ids: np.ndarray, mask: int, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _seeds(ids: np.ndarray, mask: int, o: np.ndarray, pairs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(starts, hashes) of the windows whose counted positions all hold test-item words.
 
     ``pairs`` marks the codes of the test items' windows; other windows can't match and are left out.
     """
-    at = np.flatnonzero(pairs[_codes(ids, mask)]) if pairs is not None else np.arange(max(0, len(ids) - int(_OFFSETS[mask][-1])))
+    at = np.flatnonzero(pairs[_codes(ids, o)]) if pairs is not None else np.arange(max(0, len(ids) - int(o[-1])))
     h = np.full(len(at), mask + 1, np.uint64)
-    for j, k in enumerate(_OFFSETS[mask]):
+    for j, k in enumerate(o):
         word = ids[at + k]
         h = (h + word.astype(np.uint64)) * _FACTORS[j]
         h ^= h >> np.uint64(29)
@@ -84,9 +95,12 @@ class Index:
         self.vocab: dict[str, int] = {}
         self.ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.int64) for _, words in self.items]
         hashes, item, start = [], [], []
+        numbers: dict[tuple, int] = {}
+        own = [[numbers.setdefault(tuple(o.tolist()), len(numbers)) for o in masks_of(len(ids))] if len(ids) else [] for ids in self.ids]
+        self.masks = [np.array(o) for o in numbers]  # of the lengths that occur
         for n, ids in enumerate(self.ids):
-            for m in range(len(MASKS)):
-                at, h = _seeds(ids, m)
+            for m in dict.fromkeys(own[n]):
+                at, h = _seeds(ids, m, self.masks[m])
                 hashes.append(h)
                 item.append(np.full(len(at), n))
                 start.append(at)
@@ -96,32 +110,35 @@ class Index:
         self.hash, self.item, self.start = h[order], i[order], s[order]
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(self.hash >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.pairs = np.zeros((len(MASKS), 1 << 20), bool)
-        for m in range(len(MASKS)):
-            for ids in self.ids:
-                self.pairs[m][_codes(ids, m)] = True
+        self.pairs = np.zeros((len(self.masks), 1 << 20), bool)
+        for n, ids in enumerate(self.ids):
+            for m in own[n]:
+                self.pairs[m][_codes(ids, self.masks[m])] = True
         self.words: _Ids | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"words": None}
 
     def overlaps(self, text: str | None) -> list[tuple]:
-        """(item_id, start, length, matches, item_start) of the best window on each diagonal that has a hit and passes; best per item."""
+        """(item_id, start, length, matches, item_start) of the diagonal with the most matches for each item that passes; of equal ones the first in the text."""
         raw = (text or "").split()
         if not raw or not len(self.hash):
             return []
         self.words = self.words if self.words is not None else _Ids(self.vocab)
         ids = np.fromiter(map(self.words.__getitem__, raw), np.int64, len(raw))
-        found: set[tuple[int, int]] = set()
-        for m in range(len(MASKS)):
-            at, h = _seeds(ids, m, self.pairs[m])
+        found = [np.zeros((0, 2), np.int64)]
+        for m, o in enumerate(self.masks):
+            at, h = _seeds(ids, m, o, self.pairs[m])
             hit = self.maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
             at, h = at[hit], h[hit]
             low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
             for k in np.flatnonzero(high > low):
-                found.update((int(self.item[x]), int(at[k] - self.start[x])) for x in range(low[k], high[k]))
+                x = slice(low[k], high[k])
+                found.append(np.column_stack([self.item[x], at[k] - self.start[x]]))
+                if len(found) > 4096:
+                    found = [np.unique(np.concatenate(found), axis=0)]
         best: dict[int, tuple] = {}
-        for n, offset in sorted(found):
+        for n, offset in np.unique(np.concatenate(found), axis=0).tolist():
             got = self._verify(n, offset, ids)
             if got and (n not in best or got[2] > best[n][2]):
                 best[n] = got
@@ -162,8 +179,9 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, n_words, matches, item_start): the best verified overlap of each text and item.
 
-    start and n_words count words of the text. Null and empty texts and items overlap nothing, nor
-    do items of fewer than six words (too short for a seed).
+    start and n_words count words of the text. Null and empty texts and items overlap nothing. An item of fewer than
+    WINDOW words overlaps where SIMILARITY of the whole of it stands; shorter than five words, verbatim. Repeated rows
+    and rows without an id have rows each; of equal overlaps of an item the first in the text is reported.
     """
     schema = "doc_id long, item_id long, start long, n_words long, matches long, item_start long"
     out = None
