@@ -600,6 +600,20 @@ def test_sample_is_bounded(spark):
 
 
 # pipeline
+def test_stages_on_odd_and_empty_tables(spark, odd, none):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        assert stage(spark, none, DATA).count() == 0, name
+        rows = stage(spark, odd, DATA)
+        assert name == "token ids" or rows.columns == odd.columns
+        assert rows.count() == len(ODD) or name != "token ids"
+    one = [(r["doc_id"], r["text"]) for r in p.one_of_each(spark, odd, DATA).collect()]
+    texts = [t for _, t in one]
+    assert len(one) == 5 and (4, "same words once more") in one and texts.count("no id here at all") == 1 and sum(i in (1, 2, 3) for i, _ in one) == 1
+    assert p.uncontaminated(spark, odd, DATA).count() == len(ODD)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

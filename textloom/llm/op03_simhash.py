@@ -69,7 +69,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         texts = b.column("text").cast(pa.binary())
         fp = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        rest = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(fp)], [*rest, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -218,6 +219,15 @@ def links(distinct: DataFrame, scratch: Scratch, crowded: int = 128) -> DataFram
     return edges.union(_fine(sent.join(many, "cell", "left_semi").select("fp").distinct())) if split else edges
 
 
+def _named(rows: DataFrame, scratch: Scratch, crowded: int) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint of rows (doc_id, fp)."""
+    distinct = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    roots = components(scratch.save(links(distinct, scratch, crowded), "links"), scratch)
+    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return scratch.save(named.join(lowest, "root").select("fp", "root", "component_id"), "ids")
+
+
 def classes(docs: DataFrame, scratch: Scratch, crowded: int = 128) -> DataFrame:
     """(doc_id, fp, component_id) of every row.
 
@@ -226,9 +236,17 @@ def classes(docs: DataFrame, scratch: Scratch, crowded: int = 128) -> DataFrame:
     class's id (null if no row of the class has one). Repeated rows share fingerprint and class.
     """
     rows = scratch.save(fingerprints(docs), "fps")
-    distinct = scratch.save(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(scratch.save(links(distinct, scratch, crowded), "links"), scratch)
-    named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = scratch.save(named.join(lowest, "root").select("fp", "component_id"), "ids")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(_named(rows, scratch, crowded), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, scratch: Scratch, crowded: int = 128) -> DataFrame:
+    """One row of each class, all columns unchanged: the smallest doc_id's (null last), of its texts the one with the least hash.
+
+    Rows without an id and repeated rows are members of their class like any others; of rows equal in id and text, any one stays.
+    """
+    key = F.xxhash64(F.lit("row"), "doc_id", F.coalesce("text", F.lit(""))).alias("key")
+    rows = scratch.save(docs.select("doc_id", key, "text").mapInArrow(_fingerprints, "doc_id long, key long, fp long"), "fps")
+    named = rows.join(_named(rows, scratch, crowded).select("fp", "root"), "fp")
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias("key"))
+    whole = docs.select(F.struct("*").alias("doc"), key).join(scratch.save(best, "best"), "key", "left_semi")
+    return whole.dropDuplicates(["key"]).select("doc.*")
