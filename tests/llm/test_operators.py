@@ -552,7 +552,7 @@ def test_every_word_of_a_repeat_stays_somewhere(spark):
     left = op10_substrings.remove_repeats(docs, found)
     assert left.columns == docs.columns and left.count() == len(rows)
     kept = [r["text"] for r in left.collect()]
-    assert kept.count(a) == 2 and kept.count(b) == 1  # document 5 stands twice and is one
+    assert kept.count(a) == 2 and sum(b in (t or "") for t in kept) == 1  # document 5 stands twice and is one
     assert sum(c in (t or "") for t in kept) == 1 and sum((t or "").count(d) for t in kept) == 1 and sum((t or "").count(c) for t in kept) == 1
 
 

@@ -6,10 +6,12 @@ only, so chunks resist insertions before them, and none is longer than ``VIEW``
 text. Each chunk gets one digest, and only chunks whose digest occurs again, anywhere, go on:
 
 * Successive repeated chunks of a text are joined to runs of at least ``RUN_WORDS`` words, which a short chunk
-  alone (a common word) doesn't make. A run that occurs again has a partner, the first place that
-  holds it (for the first place, the last one).
-* Runs of a text with one partner at one distance make a stretch. A stretch is extended word by word at both ends
-  as far as both places agree. Stretches of at least ``SPAN_WORDS`` words are repeats.
+  alone (a common word) doesn't make. A run that occurs again has a partner, the first place that holds it (for
+  the first place, the last one).
+* Overlapping repeated runs of a text make a passage, extended word by word at both ends as far as it agrees with
+  the partner of its outermost run. Passages of at least ``SPAN_WORDS`` words are repeats.
+
+Equal texts are chunked as one text; that they are equal is a repeat of the whole.
 
 A hash depends on 16 bytes (at most 7 words of a passage come before its first shared hash), so two
 copies of a passage have the same cuts from the least of its first VIEW shared word ends to that of its last VIEW. These
@@ -33,12 +35,14 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch
 
-VIEW, RUN_WORDS, SPAN_WORDS = 16, 12, 48
+VIEW, RUN_WORDS, SPAN_WORDS = 12, 20, 48
 #: These bits of the hash depend on 16 bytes.
 CUT_MASK = 0xFFFF
 #: Words beside a stretch that may belong to the passage.
 BESIDE = 3 * VIEW
 GEAR = np.random.default_rng(20240613).integers(0, 2**32, 256, dtype=np.uint32)
+#: Stands for a null id, which comes last.
+LAST = (1 << 63) - 1
 #: An odd number has an inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -77,27 +81,28 @@ def chunks(text: bytes | None) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, row, doc_id, first, end) of every chunk."""
+    """(digest, row, doc_id, first, size) of every chunk, doc_id left out; and a row of each text without digest, its words as ``first``."""
     digest = xxhash.xxh3_64_intdigest
     for b in batches:
-        texts, ids = b.column("text").cast(pa.binary()), b.column("doc_id")
+        texts = b.column("text").cast(pa.binary())
         for low in range(0, b.num_rows, 256):
-            digests, counts, first, end = [], [], [], []
+            digests, counts, first, size, words = [], [], [], [], []
             for t in texts.slice(low, 256):
                 data, at, word = chunks(t.as_py())
-                if not data:
-                    counts.append(0)
-                    continue
-                edges = at.tolist()
+                edges = at.tolist() if data else [0]
                 digests += [digest(data[x : y - 1]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
                 counts.append(len(edges) - 1)
-                first.append(word[:-1])
-                end.append(word[1:])
-            which = pa.array(np.repeat(np.arange(low, low + len(counts)), counts))
-            cat = lambda x: pa.array(np.concatenate([np.zeros(0), *x]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(digests, np.uint64).view(np.int64)), b.column("row").take(which), ids.take(which), cat(first), cat(end)], ["digest", "row", "doc_id", "first", "end"]
-            )
+                words.append(int(word[-1]))
+                if data:
+                    first.append(word[:-1])
+                    size.append(np.diff(word))
+            cat = lambda x: np.concatenate([np.zeros(0), *x]).astype(np.int32)
+            n, which = len(counts), np.repeat(np.arange(low, low + len(counts)), counts)
+            rows = pa.concat_arrays([b.column("row").take(pa.array(which)), b.column("row").slice(low, n)])
+            ids = pa.concat_arrays([pa.nulls(len(which), pa.int64()), b.column("doc_id").slice(low, n)])
+            found = pa.concat_arrays([pa.array(np.array(digests, np.uint64).view(np.int64)), pa.nulls(n, pa.int64())])
+            starts, sizes = np.concatenate([cat(first), np.array(words, np.int32)]), np.concatenate([cat(size), np.zeros(n, np.int32)])
+            yield pa.RecordBatch.from_arrays([found, rows, ids, pa.array(starts), pa.array(sizes)], ["digest", "row", "doc_id", "first", "size"])
 
 
 def run_digests(digest: np.ndarray, row: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,28 +131,26 @@ def run_digests(digest: np.ndarray, row: np.ndarray, first: np.ndarray, end: np.
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(run, row, doc_id, first, end) of a partition of repeated chunks, sorted by text and place."""
-    names, held = ("digest", "row", "doc_id", "first", "end"), None
+    """(run, doc, row, first, end) of a partition of repeated chunks, sorted by text and place; equal texts repeat places, which count once."""
+    names = ("digest", "doc", "row", "first", "size")
+    held = [np.zeros(0, np.int64)] * len(names)
 
-    def of(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        col = {c: t.column(c).to_numpy() for c in names if c != "doc_id"}
-        a, z, h = run_digests(col["digest"], col["row"], col["first"].astype(np.int64), col["end"].astype(np.int64))
-        ids = t.column("doc_id").take(pa.array(a)).combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else pa.array([], pa.int64()) if isinstance(ids, pa.ChunkedArray) else ids
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(col["row"][a]), ids, pa.array(col["first"][a]), pa.array(col["end"][z])], ["run", "row", "doc_id", "first", "end"])
+    def of(digest, doc, row, first, size) -> pa.RecordBatch:
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] != first[:-1])]) if len(row) else np.zeros(0, bool)
+        digest, doc, row, first, size = (x[new] for x in (digest, doc, row, first, size))
+        a, z, h = run_digests(digest, row, first, first + size)
+        ends = (first + size)[z].astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(doc[a]), pa.array(row[a]), pa.array(first[a].astype(np.int32)), pa.array(ends)], ["run", "doc", "row", "first", "end"])
 
     for b in batches:
-        t = pa.Table.from_batches([b.select(names)])
-        t = t if held is None else pa.concat_tables([held, t])
-        row = t.column("row").to_numpy()
+        held = [np.concatenate([x, b.column(c).to_numpy().astype(np.int64)]) for x, c in zip(held, names, strict=True)]
+        row = held[2]
         other = np.flatnonzero(row != row[-1]) if len(row) else row
         cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
-            yield of(t.slice(0, cut))
-        held = t.slice(cut)
-    if held is not None and held.num_rows:
-        yield of(held)
+            yield of(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+    yield of(*held)
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,70 +173,74 @@ def _islands(pieces: DataFrame, *by: str) -> DataFrame:
 
 
 def _row() -> Column:
-    return F.xxhash64(F.lit("text"), "doc_id", F.coalesce("text", F.lit(""))).alias("row")
+    return F.xxhash64(F.lit("text"), F.coalesce("text", F.lit(""))).alias("row")
 
 
-def _grown(docs: DataFrame, stretches: DataFrame, scratch: Scratch) -> DataFrame:
-    """stretches (row, first, end, prow, delta) with ``before`` and ``after``: words that agree with the partner beyond either end."""
-    sides = [stretches.select("row", "prow", "delta", "first", F.lit(i).alias("side"), F.col(at).alias("at")) for i, at in enumerate(("first", "end"))]
-    ends = sides[0].unionByName(sides[1]).withColumn("pat", (F.col("at") - F.col("delta")).cast("int"))
+def _grown(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
+    """spans (row, island, first, end, p0, p1) with ``before`` and ``after``: words beyond either end that agree with that end's partner."""
+    sides = [spans.select("row", "island", F.lit(i).alias("side"), F.col(at).alias("at"), F.col(f"p{i}.prow").alias("prow"), (F.col(at) - F.col(f"p{i}.delta")).cast("int").alias("pat")) for i, at in enumerate(("first", "end"))]
+    ends = sides[0].unionByName(sides[1])
     places = ends.select("row", "at", "side").union(ends.select("prow", "pat", "side")).distinct()
     places = places.groupBy("row").agg(F.collect_list(F.struct("at", "side")).alias("places"))
-    texts = docs.select(_row(), "text").join(places, "row").dropDuplicates(["row"])
-    words = scratch.save(texts.mapInArrow(_beside, "row long, at int, side int, words array<binary>"), "words")
+    texts = docs.select(_row(), "text").join(scratch.save(places, "places"), "row")
+    words = texts.mapInArrow(_beside, "row long, at int, side int, words array<binary>").dropDuplicates(["row", "at", "side"])
+    words = scratch.save(words, "words")
     own = words.withColumnRenamed("words", "own")
     theirs = words.select(F.col("row").alias("prow"), F.col("at").alias("pat"), "side", F.col("words").alias("theirs"))
     differ = F.array_position(F.zip_with("own", "theirs", lambda x, y: x.eqNullSafe(y)), False)
     pairs = ends.join(own, ["row", "at", "side"]).join(theirs, ["prow", "pat", "side"])
     more = pairs.withColumn("more", F.when(differ > 0, differ - 1).otherwise(F.least(F.size("own"), F.size("theirs"))).cast("int"))
-    more = more.groupBy("row", "prow", "delta", "first").agg(*(F.max(F.when(F.col("side") == i, F.col("more"))).alias(c) for i, c in enumerate(("before", "after"))))
-    return stretches.join(more, ["row", "prow", "delta", "first"], "left").na.fill(0, ["before", "after"])
+    more = more.groupBy("row", "island").agg(*(F.max(F.when(F.col("side") == i, F.col("more"))).alias(c) for i, c in enumerate(("before", "after"))))
+    return spans.join(more, ["row", "island"], "left").na.fill(0, ["before", "after"])
 
 
 def repeats(docs: DataFrame, scratch: Scratch, span_words: int = SPAN_WORDS) -> DataFrame:
-    """(row, doc_id, start, stop, first_doc_id, first_start, is_first): every stretch of span_words words or more that another place holds as well.
+    """(row, doc_id, start, stop, first_doc_id, cuts): every passage of span_words words or more that other places hold as well.
 
-    A place comes before another by doc_id (null last), then by text, then by word. ``is_first`` marks the first place
-    of its runs: first_doc_id is then its own, else the document of the earlier place, where the same words
-    start at first_start. Places are in texts of different documents or in one text. Rows equal in id
-    and text are one document and share ``row``; null and empty texts have no chunks.
+    A place comes before another by the smallest doc_id of its text (null last), then by a hash of the text, then by word.
+    Places are in different texts or in one. ``cuts`` are the parts (start, stop) of the passage whose words stand in earlier
+    places, the document first_doc_id being the one with the smallest id among those and itself. ``row`` is a hash of the
+    text. Of documents equal in text the one with the smallest id has the passages, the others repeat it as a whole. Rows
+    equal in id and text are one document, and so are those of one text without ids; null and empty texts have no chunks.
     """
     slim = docs.select("doc_id", "text")
-    found = scratch.save(slim.select(_row(), "doc_id", "text").mapInArrow(_rows, "digest long, row long, doc_id long, first int, end int"), "chunks")
-    again = scratch.save(found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "digests")
-    marked = found.join(again, "digest", "left_semi").repartition("row").sortWithinPartitions("row", "first")
-    # rows equal in id and text repeat their chunks in place
-    run = scratch.save(marked.mapInArrow(_distinct_runs, "run long, row long, doc_id long, first int, end int"), "runs")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "first")
+    found = scratch.save(slim.select(_row(), "doc_id", "text").mapInArrow(_rows, "digest long, row long, doc_id long, first int, size int"), "chunks")
+    ids = scratch.save(found.filter("digest is null").groupBy("row", "doc_id").agg(F.max("first").alias("n")), "ids")
+    lead = scratch.save(ids.groupBy("row").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("docs"), F.max("n").alias("n")), "lead")
+    chunk = found.filter("digest is not null").select("digest", "row", "first", "size")
+    # two places of a digest differ in this hash
+    place = F.xxhash64("row", "first")
+    again = chunk.groupBy("digest").agg(F.min(place).alias("a"), F.max(place).alias("z")).filter("a <> z").select("digest")
+    marked = chunk.join(scratch.save(again, "digests"), "digest", "left_semi").repartition("row")
+    doc = F.coalesce("keeper", F.lit(LAST)).alias("doc")
+    marked = marked.join(lead.select("row", doc), "row").sortWithinPartitions("row", "first")
+    run = scratch.save(marked.mapInArrow(_runs, "run long, doc long, row long, first int, end int"), "runs")
+    scratch.drop(found)
+    place = F.struct("doc", "row", "first")
     held = run.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"), F.max(place).alias("tail")).filter("n > 1").drop("n")
     at = run.join(scratch.save(held, "held"), "run")
     is_first = (F.col("row") == F.col("lead.row")) & (F.col("first") == F.col("lead.first"))
     other = F.when(is_first, F.col("tail")).otherwise(F.col("lead"))
-    at = at.select("row", "doc_id", "first", "end", is_first.alias("is_first"), other["row"].alias("prow"), other["doc_id"].alias("pdoc"), (F.col("first") - other["first"]).alias("delta"))
-    joined = _islands(at, "row", "prow", "delta", "is_first").groupBy("row", "doc_id", "prow", "pdoc", "delta", "is_first", "island")
-    stretches = scratch.save(joined.agg(F.min("first").alias("first"), F.max("end").alias("end")).drop("island"), "stretches")
-    grown = _grown(slim, stretches, scratch)
-    out = grown.withColumn("start", F.col("first") - F.col("before")).withColumn("stop", F.col("end") + F.col("after")).filter(F.col("stop") - F.col("start") >= span_words)
-    own = lambda mine, theirs: F.when(F.col("is_first"), mine).otherwise(theirs)
-    return out.select(
-        "row", "doc_id", "start", "stop", own(F.col("doc_id"), F.col("pdoc")).alias("first_doc_id"), own(F.col("start"), F.col("start") - F.col("delta")).cast("int").alias("first_start"), "is_first"
+    at = at.select("row", "first", "end", is_first.alias("is_first"), other["row"].alias("prow"), (F.col("first") - other["first"]).alias("delta"), F.col("lead.doc").alias("lead"))
+    at = scratch.save(_islands(at, "row"), "places")
+    partner = F.struct("prow", "delta", "is_first")
+    spans = at.groupBy("row", "island").agg(
+        F.min("first").alias("first"), F.max("end").alias("end"), F.min_by(partner, "first").alias("p0"), F.max_by(partner, "end").alias("p1"), F.min("lead").alias("lead")
     )
-
-
-def _distinct_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_runs of the chunks, each place once."""
-
-    def once() -> Iterator[pa.RecordBatch]:
-        row, first = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            r, f = b.column("row").to_numpy(), b.column("first").to_numpy()
-            same = np.concatenate([[r[0] == row and f[0] == first], (r[1:] == r[:-1]) & (f[1:] == f[:-1])])
-            row, first = r[-1], f[-1]
-            yield b.filter(pa.array(~same))
-
-    yield from _runs(once())
+    spans = _grown(slim, scratch.save(spans, "spans"), scratch).withColumn("start", F.col("first") - F.col("before")).withColumn("stop", F.col("end") + F.col("after"))
+    spans = scratch.save(spans.filter(F.col("stop") - F.col("start") >= span_words), "passages")
+    parts = _islands(at.filter("not is_first").select("row", F.col("island").alias("passage"), "first", "end"), "row", "passage")
+    parts = parts.groupBy("row", F.col("passage").alias("island"), F.col("island").alias("part")).agg(F.min("first").alias("a"), F.max("end").alias("z"))
+    parts = parts.join(spans.select("row", "island", "first", "end", "start", "stop", "p0", "p1"), ["row", "island"])
+    start = F.when((F.col("a") == F.col("first")) & ~F.col("p0.is_first"), F.col("start")).otherwise(F.col("a"))
+    stop = F.when((F.col("z") == F.col("end")) & ~F.col("p1.is_first"), F.col("stop")).otherwise(F.col("z"))
+    cuts = parts.groupBy("row", "island").agg(F.collect_list(F.struct(start.alias("start"), stop.alias("stop"))).alias("cuts"))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    own = spans.join(cuts, ["row", "island"], "left").join(lead.select("row", "keeper"), "row")
+    own = own.select("row", F.col("keeper").alias("doc_id"), "start", "stop", F.when(F.col("lead") != LAST, F.col("lead")).alias("first_doc_id"), F.coalesce("cuts", none).alias("cuts"))
+    copies = ids.join(lead.filter((F.col("docs") > 1) & (F.col("n") >= span_words)).select("row", "keeper"), "row")
+    whole = F.when(F.col("doc_id").eqNullSafe(F.col("keeper")), none).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("stop"))))
+    return own.union(copies.select("row", "doc_id", F.lit(0), F.col("n"), "keeper", whole))
 
 
 def shared_passages(docs: DataFrame, scratch: Scratch, span_words: int = SPAN_WORDS) -> DataFrame:
@@ -241,22 +248,24 @@ def shared_passages(docs: DataFrame, scratch: Scratch, span_words: int = SPAN_WO
 
     start and n_words count words; overlapping repeats of a text are one passage, and first_doc_id is the smallest id of
     a document that holds an earlier or the first copy of part of it. A document without an id has rows with a null doc_id.
-    Ties cannot change a row; the nulls and repeated rows are as ``repeats`` says.
+    Nulls, ties and repeated rows are as ``repeats`` says.
     """
-    spans = _islands(repeats(docs, scratch, span_words).select("row", "doc_id", F.col("start").alias("first"), F.col("stop").alias("end"), "first_doc_id"), "row")
+    found = repeats(docs, scratch, span_words)
+    spans = _islands(found.select("row", "doc_id", F.col("start").alias("first"), F.col("stop").alias("end"), "first_doc_id"), "row", "doc_id")
     out = spans.groupBy("row", "doc_id", "island").agg(F.min("first").alias("start"), F.max("end").alias("stop"), F.min("first_doc_id").alias("first_doc_id"))
     return out.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("n_words"), "first_doc_id")
 
 
 def remove_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the repeats that ``repeats`` found: every stretch but the first place of its words is cut, stretch by stretch.
+    """docs without what ``repeats`` found to stand in earlier places, part by part.
 
     Each cut word stands in an earlier place as well, so the earliest copy of every word stays. A cut text keeps its other
     words, joined by single spaces; other texts, rows and columns are unchanged. Rows equal in id and text are one document.
     """
-    cut_at = found.filter("not is_first").groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
-    whole = docs.select(F.struct("*").alias("doc"), "text", _row())
+    cut_at = found.filter("size(cuts) > 0").groupBy("row", F.col("doc_id").alias("id")).agg(F.flatten(F.collect_list("cuts")).alias("cuts"))
+    whole = docs.select(F.struct("*").alias("doc"), "doc_id", "text", _row().alias("own"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     kept = F.filter(words, lambda w, i: ~F.exists("cuts", lambda c: (i >= c["start"]) & (i < c["stop"])))
-    joined = whole.join(cut_at, "row", "left").select("doc", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"))
+    joined = whole.join(cut_at, (F.col("own") == F.col("row")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    joined = joined.select("doc", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(kept, " ")).alias("text"))
     return joined.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
