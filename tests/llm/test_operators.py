@@ -556,6 +556,22 @@ def test_every_word_of_a_repeat_stays_somewhere(spark):
     assert sum(c in (t or "") for t in kept) == 1 and sum((t or "").count(d) for t in kept) == 1 and sum((t or "").count(c) for t in kept) == 1
 
 
+def test_passages_over_several_partners(spark):
+    """Two pieces from different places aren't a passage; a passage whose pieces stand in earlier texts is one where two later texts share it."""
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    rows, piece = [], lambda t, a, z: " ".join(t.split()[a:z])
+    for i in range(0, 200, 10):
+        p, q, r = text(60), text(40), text(40)
+        rows += [(i, f"{text(20)} {piece(p, 0, 40)} {text(20)}"), (i + 1, f"{text(20)} {piece(p, 20, 60)} {text(20)}"), (i + 2, f"{text(7)} {p} {text(30)}"), (i + 3, f"{text(30)} {p} {text(7)}")]
+        rows += [(i + 4, f"{text(20)} {q} {text(20)}"), (i + 5, f"{text(20)} {r} {text(20)}"), (i + 6, f"{text(9)} {q} {r} {text(9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["n_words"]) for r in op10_substrings.shared_passages(docs, Scratch(spark)).collect()}
+    assert got == {i + k: (n, 60) for i in range(0, 200, 10) for k, n in ((2, 7), (3, 30))}
+    left = {r["doc_id"]: len(r["text"].split()) for r in op10_substrings.remove_repeats(docs, op10_substrings.repeats(docs, Scratch(spark))).collect()}
+    assert all(left[i + k] == len(t.split()) for i in range(0, 200, 10) for k, t in ((k, dict(rows)[i + k]) for k in (0, 1, 4, 5, 6)))
+
+
 def test_passages_of_documents_by_brute_force(spark):
     """Documents with a stretch of 50 words that stands elsewhere are found, those without one of 48 aren't."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()

@@ -10,6 +10,9 @@ text. Each chunk gets one digest, and only chunks whose digest occurs again, any
   the first place, the last one).
 * Overlapping repeated runs of a text make a passage, extended word by word at both ends as far as it agrees with
   the partner of its outermost run. Passages of at least ``SPAN_WORDS`` words are repeats.
+* A partner is one place of many, and runs of a passage may have different ones. A passage is settled if it agrees
+  with one place in SPAN_WORDS words, or has a single partner and no other place. Of all others, every stretch of
+  SPAN_WORDS words in the passage and BESIDE words around it is hashed, and those that occur again are repeats.
 
 Equal texts are chunked as one text; that they are equal is a repeat of the whole.
 
@@ -164,6 +167,45 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(near, pa.list_(pa.binary()))], ["row", "at", "side", "words"])
 
 
+def _windows(n: int):
+    """(row, island, doc, at, window): a digest of every n successive words of an unsettled passage with BESIDE words around it."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, types = xxhash.xxh3_64_intdigest, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.uint64())
+
+        def batch(out: list) -> pa.RecordBatch:
+            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*cols[:4], cols[4].view(pa.int64())], ["row", "island", "doc", "at", "window"])
+
+        for b in batches:
+            out = []
+            for d, t, places in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()), b.column("places").to_pylist(), strict=True):
+                words = (t.as_py() or b"").split()
+                for p in places:
+                    low, high = max(0, p["first"] - BESIDE), min(len(words), p["end"] + BESIDE)
+                    out += [(d, p["island"], p["doc"], k, digest(b" ".join(words[k : k + n]))) for k in range(low, high - n + 1)]
+                    if len(out) > 100_000:
+                        yield batch(out)
+                        out = []
+            yield batch(out)
+
+    return of
+
+
+def _settled(docs: DataFrame, spans: DataFrame, span_words: int, scratch: Scratch) -> DataFrame:
+    """(row, island, at, again, wfirst): stretches of span_words words of unsettled passages (row, island, doc, first, end) that occur
+    again. ``again`` if an earlier place holds them too, wfirst being that of the first place's text."""
+    places = spans.groupBy("row").agg(F.collect_list(F.struct("island", "doc", "first", "end")).alias("places"))
+    texts = docs.select(_row(), "text").join(scratch.save(places, "unsettled"), "row")
+    found = scratch.save(texts.mapInArrow(_windows(span_words), "row long, island long, doc long, at int, window long"), "windows")
+    # equal texts repeat places, and two places differ in this hash
+    place = F.xxhash64("row", "at")
+    held = found.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min(F.struct("doc", "row", "at")).alias("lead")).filter("a <> z")
+    out = found.join(scratch.save(held.select("window", "lead"), "again"), "window")
+    first = (F.col("row") == F.col("lead.row")) & (F.col("at") == F.col("lead.at"))
+    return out.select("row", "island", "at", (~first).alias("again"), F.col("lead.doc").alias("wfirst")).distinct()
+
+
 def _islands(pieces: DataFrame, *by: str) -> DataFrame:
     """pieces (first, end) with the number of the stretch that overlapping or adjoining ones of a group make up."""
     order = Window.partitionBy(*by).orderBy("first", "end")
@@ -217,27 +259,45 @@ def repeats(docs: DataFrame, scratch: Scratch, span_words: int = SPAN_WORDS) ->
     run = scratch.save(marked.mapInArrow(_runs, "run long, doc long, row long, first int, end int"), "runs")
     scratch.drop(found)
     place = F.struct("doc", "row", "first")
-    held = run.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"), F.max(place).alias("tail")).filter("n > 1").drop("n")
+    held = run.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"), F.max(place).alias("tail")).filter("n > 1")
     at = run.join(scratch.save(held, "held"), "run")
     is_first = (F.col("row") == F.col("lead.row")) & (F.col("first") == F.col("lead.first"))
     other = F.when(is_first, F.col("tail")).otherwise(F.col("lead"))
-    at = at.select("row", "first", "end", is_first.alias("is_first"), other["row"].alias("prow"), (F.col("first") - other["first"]).alias("delta"), F.col("lead.doc").alias("lead"))
-    at = scratch.save(_islands(at, "row"), "places")
+    at = at.select("row", "doc", "first", "end", "n", is_first.alias("is_first"), other["row"].alias("prow"), (F.col("first") - other["first"]).alias("delta"), F.col("lead.doc").alias("lead"))
+    at = _islands(at, "row")
+    # the part of a passage that agrees with one place
+    at = _islands(at.withColumnRenamed("island", "passage"), "row", "passage", "prow", "delta")
+    one = Window.partitionBy("row", "passage", "prow", "delta", "island")
+    at = at.withColumn("reach", F.max("end").over(one) - F.min("first").over(one)).withColumn("island", F.col("passage")).drop("passage")
+    at = scratch.save(at, "places")
     partner = F.struct("prow", "delta", "is_first")
+    place = F.struct("prow", "delta")
     spans = at.groupBy("row", "island").agg(
-        F.min("first").alias("first"), F.max("end").alias("end"), F.min_by(partner, "first").alias("p0"), F.max_by(partner, "end").alias("p1"), F.min("lead").alias("lead")
-    )
+        F.min("first").alias("first"), F.max("end").alias("end"), F.min_by(partner, "first").alias("p0"), F.max_by(partner, "end").alias("p1"), F.min("lead").alias("lead"),
+        F.min("doc").alias("doc"), F.max("reach").alias("reach"), F.max("n").alias("n"), (F.min(place) == F.max(place)).alias("single"),
+    )
     spans = _grown(slim, scratch.save(spans, "spans"), scratch).withColumn("start", F.col("first") - F.col("before")).withColumn("stop", F.col("end") + F.col("after"))
-    spans = scratch.save(spans.filter(F.col("stop") - F.col("start") >= span_words), "passages")
+    long = F.col("stop") - F.col("start") >= span_words
+    spans = scratch.save(spans.withColumn("settled", (F.col("reach") >= span_words) | (F.col("single") & (long | (F.col("n") == 2)))).filter(long | ~F.col("settled")), "grown")
+    window = scratch.save(_settled(slim, spans.filter("not settled"), span_words, scratch), "settled")
+    whole = window.groupBy("row", "island").agg(F.min("at").alias("w0"), (F.max("at") + span_words).alias("w1"), F.min("wfirst").alias("wfirst"))
+    spans = spans.join(whole, ["row", "island"], "left").filter("settled or w0 is not null")
+    # an unsettled passage reaches to its outermost stretch that occurs again
+    bound = lambda grown, far, both: F.when(F.col("settled"), F.col(grown)).otherwise(both(far, F.col(grown)))
+    spans = scratch.save(spans.select("row", "island", "first", "end", "start", "stop", "p0", "p1", F.least("lead", "wfirst").alias("lead"),
+        bound("start", F.col("w0"), F.least).alias("from"), bound("stop", F.col("w1"), F.greatest).alias("to")), "passages")
     parts = _islands(at.filter("not is_first").select("row", F.col("island").alias("passage"), "first", "end"), "row", "passage")
     parts = parts.groupBy("row", F.col("passage").alias("island"), F.col("island").alias("part")).agg(F.min("first").alias("a"), F.max("end").alias("z"))
     parts = parts.join(spans.select("row", "island", "first", "end", "start", "stop", "p0", "p1"), ["row", "island"])
     start = F.when((F.col("a") == F.col("first")) & ~F.col("p0.is_first"), F.col("start")).otherwise(F.col("a"))
     stop = F.when((F.col("z") == F.col("end")) & ~F.col("p1.is_first"), F.col("stop")).otherwise(F.col("z"))
-    cuts = parts.groupBy("row", "island").agg(F.collect_list(F.struct(start.alias("start"), stop.alias("stop"))).alias("cuts"))
+    parts = parts.select("row", "island", start.alias("start"), stop.alias("stop"))
+    late = window.filter("again").select("row", F.col("island").alias("passage"), F.col("at").alias("first"), (F.col("at") + span_words).alias("end"))
+    late = _islands(late, "row", "passage").groupBy("row", F.col("passage").alias("island"), F.col("island").alias("part")).agg(F.min("first").alias("start"), F.max("end").alias("stop"))
+    cuts = parts.union(late.drop("part")).groupBy("row", "island").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
     none = F.array().cast("array<struct<start:int,stop:int>>")
     own = spans.join(cuts, ["row", "island"], "left").join(lead.select("row", "keeper"), "row")
-    own = own.select("row", F.col("keeper").alias("doc_id"), "start", "stop", F.when(F.col("lead") != LAST, F.col("lead")).alias("first_doc_id"), F.coalesce("cuts", none).alias("cuts"))
+    own = own.select("row", F.col("keeper").alias("doc_id"), F.col("from").alias("start"), F.col("to").alias("stop"), F.when(F.col("lead") != LAST, F.col("lead")).alias("first_doc_id"), F.coalesce("cuts", none).alias("cuts"))
     copies = ids.join(lead.filter((F.col("docs") > 1) & (F.col("n") >= span_words)).select("row", "keeper"), "row")
     whole = F.when(F.col("doc_id").eqNullSafe(F.col("keeper")), none).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.col("n").alias("stop"))))
     return own.union(copies.select("row", "doc_id", F.lit(0), F.col("n"), "keeper", whole))
