@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch
+from textloom.llm.common import Scratch, released
 from textloom.llm.components import components
 
 RADIUS, WORDS, SEED = 2, 3, 42
@@ -75,7 +75,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp), fp as a signed long."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(released(_fingerprints), "doc_id long, fp long")
 
 
 def hex16(fp: Column) -> Column:
@@ -215,7 +215,7 @@ def links(distinct: DataFrame, scratch: Scratch, crowded: int = 128) -> DataFram
     sent = homes.select("fp", F.explode(_beside(F.col("home"), F.col("at"))).alias("cell"))
     split = not many.isEmpty()
     kept = sent.join(many, "cell", "left_anti") if split else sent
-    edges = kept.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked, "u long, v long")
+    edges = kept.repartition("cell").sortWithinPartitions("cell").mapInArrow(released(_linked), "u long, v long")
     return edges.union(_fine(sent.join(many, "cell", "left_semi").select("fp").distinct())) if split else edges
 
 
@@ -245,7 +245,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, crowded: int = 128) -> DataFrame
     Rows without an id and repeated rows are members of their class like any others; of rows equal in id and text, any one stays.
     """
     key = F.xxhash64(F.lit("row"), "doc_id", F.coalesce("text", F.lit(""))).alias("key")
-    rows = scratch.save(docs.select("doc_id", key, "text").mapInArrow(_fingerprints, "doc_id long, key long, fp long"), "fps")
+    rows = scratch.save(docs.select("doc_id", key, "text").mapInArrow(released(_fingerprints), "doc_id long, key long, fp long"), "fps")
     named = rows.join(_named(rows, scratch, crowded).select("fp", "root"), "fp")
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias("key"))
     whole = docs.select(F.struct("*").alias("doc"), key).join(scratch.save(best, "best"), "key", "left_semi")

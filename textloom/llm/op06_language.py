@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, bounded_sample, fold
+from textloom.llm.common import Scratch, bounded_sample, fold, released
 
 PIECE, LEVEL = 8192, 5
 #: Bounds of the training sample: different texts considered for each language, bytes of those that are taken.
@@ -116,7 +116,7 @@ def classify(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame
                 ["doc_id", "lang_pred", "score", "margin", "rejected"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
@@ -128,4 +128,4 @@ def accepted(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame
             found = (model.predict(t.as_py()) for t in b.column("text"))
             yield b.filter(pa.array([x[0] != "und" and x[2] >= margin for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema).select(*columns)
+    return docs.mapInArrow(released(run), docs.schema).select(*columns)

@@ -31,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, release_memory
+from textloom.llm.common import Scratch, release_memory, released
 
 LIMIT, EVERY, BLOCK_IDS = 16, 256, 1 << 18
 #: Bytes of text whose runs are numbered together, texts whose ids are laid out together.
-SLICE, ROWS = 16 << 20, 256
+SLICE, ROWS = 8 << 20, 256
 HEAD = struct.Struct("<4sIQIQ")
 
 
@@ -290,9 +290,8 @@ def tokenize(docs: DataFrame, path: str, vocab: int) -> DataFrame:
                 for ids in w.batch(part.column("text"), kind):
                     rows, at = part.slice(at, len(ids)), at + len(ids)
                     yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("tie"), ids], ["doc_id", "tie", "ids"])
-        release_memory()
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(run, "doc_id long, tie long, ids binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(released(run), "doc_id long, tie long, ids binary")
 
 
 def count_ids(ids: DataFrame, end: int, vocab: int) -> np.ndarray:

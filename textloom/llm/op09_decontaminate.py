@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.common import released
+
 #: 1: the position counts, 0: it is ignored. Six positions count in each.
 MASKS = ("11010111", "1100100111", "10101010101", "111001011")
 WINDOW, SIMILARITY = 13, 0.8
@@ -119,6 +121,10 @@ class Index:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"words": None}
 
+    def forget(self) -> None:
+        """Drop the remembered words at the end of a task."""
+        self.words = None
+
     def overlaps(self, text: str | None) -> list[tuple]:
         """(item_id, start, length, matches, item_start) of the diagonal with the most matches for each item that passes; of equal ones the first in the text."""
         raw = (text or "").split()
@@ -193,8 +199,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True) for x in index.overlaps(t.as_py())]
                 cols = list(zip(*rows, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema.replace(" long", "").split(", "))
+            index.forget()
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = docs.select("doc_id", "text").mapInArrow(released(run), schema)
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -207,8 +214,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not index.overlaps(t.as_py()) for t in b.column("text")], pa.bool_()))
+            index.forget()
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs
 
 
