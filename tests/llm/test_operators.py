@@ -5,7 +5,9 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -363,6 +365,39 @@ def test_differencing_is_the_brute_force_one_on_any_partitions(spark):
     assert got[0] == sorted(want) and sum("Site" in t for _, t in want) < 5
 
 
+def test_partners_beyond_any_number_of_copies(spark):
+    """Pages between more copies than a page's neighbourhood, or a block of the pairing, holds: exact and near copies, and families of them by turns."""
+    rng = np.random.default_rng(7)
+    page = lambda body: "".join(f"<div>{t}</div>" for t in ["Site", "Menu", *body, "Legal"])
+    rows = []
+    for host, runs in (("a.b", (40, 0, 25, 60)), ("c.d", (12,)), ("e.f", (150, 1)), ("g.h", (90,))):
+        urls = iter(range(1000))
+        for run, n in enumerate(runs):
+            for i in range(n):
+                body = [f"a long line of article {run if host != 'g.h' else i % 3 // 2} numbered {j}" for j in range(8)]
+                if i % 3:  # a near copy: some lines of its own, in places of its own
+                    body[rng.integers(8)] = f"changed {i % 5}" * rng.integers(1, 3)
+                rows.append((len(rows), f"http://{host}/{'xy'[run % 2]}/{next(urls):03}", page(body)))
+            rows.append((len(rows), f"http://{host}/{'xy'[run % 2]}/{next(urls):03}", page([f"own words {host} {run}"] if host != "c.d" else [])))
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2], r[1], r[0]))
+    parsed = [op07_html.lines(r[2]) for r in order]
+    table = [(r[1].split("/")[2], r[1][len("http://a.b") :], p[0]) for r, p in zip(order, parsed, strict=True)]
+    want, alone = [], 0
+    for i, r in enumerate(order):
+        own = Counter(parsed[i][0])
+        size_of = dict(zip(parsed[i][0], parsed[i][2], strict=True))
+        near = sorted((-len(commonprefix([table[i][1], t[1]])), abs(i - j), j, t[2]) for j, t in enumerate(table) if j != i and t[0] == table[i][0])
+        partner = next((x for *_, x in near if sum(size_of[h] * n for h, n in (own & Counter(x)).items()) <= 0.8 * sum(parsed[i][2])), None)
+        alone += partner is None
+        gone = set(brute_deleted(parsed[i], [] if partner is None else [partner]))
+        want.append((r[0], " ".join(t for j, (_, t) in enumerate(op07_html.blocks(r[2])) if j not in gone)))
+    assert alone == sum("Site" in t for _, t in want) == 1
+    for size in ((), (8,), (11,), (64,)):
+        got = [(r["page_id"], r["text"]) for r in op07_html.extract(docs, Scratch(spark), *size).collect()]
+        assert sorted(got) == sorted(want)
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12), st.sampled_from([1 << 28, 20]))
 @settings(max_examples=150, deadline=None)
 def test_common_subsequences(a, b, table):
