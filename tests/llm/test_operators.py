@@ -468,6 +468,35 @@ def test_keys_encode_like_the_text(text):
     assert np.frombuffer(next(w.batch(pa.array([text])))[0].as_py(), "<u4").tolist() == w.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_keep_each_key_once():
+    w = op08_tokens.Words(queries.TOKENIZER)
+    texts = [f"{x} {x.title()} {x.upper()}, {x}." for x in ("river", "stone", "élan", "straße")] + [None, ""]
+    for _ in range(2):
+        found = [np.frombuffer(x.as_py(), "<u4").tolist() for part in w.batch(pa.array(texts)) for x in part]
+        assert found == [w.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    # STRASSE, is what upper() makes of straße; the empty key stands for runs without marks
+    assert sorted(w) == sorted(["", ",", ".", "river", "stone", "élan", "straße", "strasse"]) and w.light is not w.tokenizer
+
+
+@pytest.mark.parametrize("limit", [0, 3, 800_000])
+def test_words_of_every_letter(limit, monkeypatch):
+    monkeypatch.setattr(op08_tokens.Words, "LIMIT", limit)
+    w = op08_tokens.Words(queries.TOKENIZER)
+    texts = [f"{c} x{c}y {c}{c.upper()}.,! .{c} {c}'s <{c}> A{c}\u0301 {c * 70}" for c in map(chr, [*range(0x250), 0x3A3, 0x65E5, 0x1F600])]
+    for _ in range(2):
+        found = [np.frombuffer(x.as_py(), "<u2").tolist() for part in w.batch(pa.array(texts), "<u2") for x in part]
+        assert found == [w.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(w) <= limit and len(w.starts) == len(w) + 1 and w.starts[-1] == len(w.ids)
+
+
+def test_flat_rows():
+    raw = [b"ab", b"", b"cdef", b"gh"]
+    for kind in (pa.binary(), pa.large_binary()):
+        for start in range(5):
+            ids, stops = op08_tokens.flat(pa.array(raw, kind)[start:], "<u2")
+            assert ids.tobytes() == b"".join(raw[start:]) and stops.tolist() == np.cumsum([0, *(len(r) // 2 for r in raw[start:])]).tolist()
+
+
 # op9
 def test_masks_meet_every_window_with_two_substitutions():
     masks, window = op09_decontaminate.MASKS, op09_decontaminate.WINDOW

@@ -24,6 +24,8 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import repeat
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch, release_memory, released
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 LIMIT, EVERY, BLOCK_IDS = 16, 256, 1 << 18
 #: Bytes of text whose runs are numbered together, texts whose ids are laid out together.
 SLICE, ROWS = 8 << 20, 256
@@ -100,13 +105,12 @@ def pack(ids: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[bytes,
     n = lengths[ids].astype(np.int64)
     end = np.cumsum(n)
     at = end - n
-    byte = at >> 3
-    value = code[ids].astype(np.int64) << (24 - n - (at & 7))
-    size = int(end[-1] + 7 >> 3)
-    total = np.zeros(size + 3)
-    for k in range(3):  # a code touches three bytes; bits don't overlap, so sums are ORs
-        total[k : size + k] += np.bincount(byte, (value >> (16 - 8 * k)) & 255, size)[:size]
-    return total[:size].astype(np.uint8).tobytes(), at[::EVERY].astype(np.uint64)
+    word = at >> 4
+    value = code[ids].astype(np.int64) << (32 - n - (at & 15))
+    size = int(end[-1] + 15 >> 4)
+    total = np.bincount(word, value >> 16, size + 1)  # a code touches two words of 16 bits; bits don't overlap, so sums are ORs
+    total[1:] += np.bincount(word, value & 0xFFFF, size)[:size]
+    return total.astype(">u2").tobytes()[: int(end[-1] + 7 >> 3)], at[::EVERY].astype(np.uint64)
 
 
 def unpack(payload: bytes, n: int, checkpoints: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -114,15 +118,15 @@ def unpack(payload: bytes, n: int, checkpoints: np.ndarray, table: tuple[np.ndar
     if not n:
         return np.zeros(0, np.uint32)
     symbol, width = table
-    raw = np.concatenate([np.frombuffer(payload, np.uint8), np.zeros(4, np.uint8)]).astype(np.uint32)
+    past = EVERY * LIMIT // 8 + 4  # the last lane runs on after the payload
+    raw = np.concatenate([np.frombuffer(payload, np.uint8), np.zeros(past, np.uint8)]).astype(np.int32)
     three = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-    at, out = checkpoints.astype(np.int64), np.zeros((len(checkpoints), EVERY), np.uint32)
-    last = len(three) - 1
+    at, out = checkpoints.astype(np.int64), np.empty((EVERY, len(checkpoints)), np.uint32)
     for k in range(EVERY):
-        word = (three[np.minimum(at >> 3, last)] >> (8 - (at & 7)).astype(np.uint32)) & 0xFFFF
-        out[:, k] = symbol[word]
+        word = (three[at >> 3] >> (8 - (at & 7))) & 0xFFFF
+        out[k] = symbol[word]
         at += width[word]
-    return out.reshape(-1)[:n]
+    return out.T.reshape(-1)[:n]
 
 
 # blocks
@@ -154,9 +158,12 @@ def read_block(raw: bytes, table: tuple[np.ndarray, np.ndarray]) -> Iterator[tup
 
 
 # text to ids
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%&*$#"
 #: Runs of these characters are cut by the tokenizer into runs of letters and runs of marks, lower-cased.
-_SAFE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ.,;:!?%&*$#]*")
-_KEYS = re.compile(r"[a-zß-öø-ÿ]+|[.,;:!?%&*$#]+")
+_SAFE = re.compile(f"[{_LETTERS}{_MARKS}]*")
+_KEYS = re.compile(f"[a-zß-öø-ÿ]+|[{_MARKS}]+")
+#: Most runs: letters, then marks. Arrow cuts these.
+_PLAIN, _HEAD = f"^[{_LETTERS}]*[{_MARKS}]*$", "".join(c for c in map(chr, range(256)) if re.match(f"[{_LETTERS}]", c))
 
 
 def keys(run: str) -> list[str]:
@@ -169,11 +176,36 @@ def keys(run: str) -> list[str]:
     return _KEYS.findall(run.lower()) if _SAFE.fullmatch(run) else ["\0" + run]
 
 
+def cut(runs: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct keys of these runs, the keys of all runs one after the other as places among them, and how many each run has.
+
+    A run of letters, then marks has two keys, either of which may be empty.
+    """
+    plain = pc.match_substring_regex(runs, _PLAIN)
+    simple = runs.filter(plain)
+    bare = pc.utf8_rtrim(simple, _MARKS)
+    others = [keys(r) for r in runs.filter(pc.invert(plain)).to_pylist()]
+    found = pa.concat_arrays([pc.utf8_lower(bare), pc.utf8_ltrim(simple, _HEAD), pa.array([k for ks in others for k in ks], runs.type)]).dictionary_encode()
+    at, two = found.indices.to_numpy(), plain.to_numpy(zero_copy_only=False)
+    sizes = np.full(len(runs), 2)
+    sizes[~two] = np.fromiter(map(len, others), np.int64, len(others))
+    mine, out, n = np.repeat(two, sizes), np.empty(len(at), np.int64), len(simple)
+    out[mine] = np.stack([at[:n], at[n : 2 * n]], 1).ravel()
+    out[~mine] = at[2 * n :]
+    return found.dictionary, out, sizes
+
+
+def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of values one after the other, and where each ends, after a zero."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])], ends
+
+
 class Words(dict):
-    """Ids of keys and runs as little-endian u32 bytes; about LIMIT are kept.
+    """Numbers of keys; the ids of number n are ids[starts[n]:starts[n + 1]]. LIMIT keys are kept.
 
-    Texts are cut into runs and numbered by Arrow, so Python sees only the distinct runs of a batch.
-    Unknown words of a batch are encoded in one call as a text of their own, and cut where an id
+    Texts are cut into runs, runs into keys, and both numbered by Arrow, so Python sees only the distinct keys of a batch.
+    Unknown words of a batch are encoded some thousands in a call as a text of their own, and cut where an id
     marks a word's end.
     """
 
@@ -182,70 +214,75 @@ class Words(dict):
     def __init__(self, path: str):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model, which finds words between spaces without regular expressions; for words that are keys.
+        self.light = Tokenizer(self.tokenizer.model)
+        self.light.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        every = " ".join(["a", *_HEAD.lower(), _HEAD.lower()])
+        if self._encode(every).tolist() != self._encode(every, self.light).tolist():
+            self.light = self.tokenizer
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of unknown keys; kept if there is room."""
-        found, out = [k for k in missing if k.isalpha()], {}
-        for at in range(0, len(found), self.CALL):
-            part = found[at : at + self.CALL]
-            ids = self._encode(" ".join(part))
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(part):
-                raw, stops = ids.tobytes(), (4 * stop).tolist()
-                out.update((w, raw[a:b]) for w, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
-            else:
-                out.update((w, self._encode(w).tobytes()) for w in part)
-        out.update((k, self._encode(k.removeprefix("\0")).tobytes()) for k in missing if not k.isalpha())
-        if len(self) < self.LIMIT:
-            self.update((k, v) for k, v in out.items() if len(k) <= 64)
-        return out
-
-    def runs(self, distinct: list[str]) -> list[bytes]:
-        """The ids of each of these runs."""
-        found = list(map(self.get, distinct))
-        todo = [i for i, v in enumerate(found) if v is None]
-        cut = [keys(distinct[i]) for i in todo]
-        missing = {k for ks in cut for k in ks if k not in self}
-        new = self.learn(missing) if missing else {}
-        room = len(self) < self.LIMIT
-        for i, ks in zip(todo, cut, strict=True):
-            run = distinct[i]
-            found[i] = v = b"".join([new[k] if k in new else self[k] for k in ks])
-            if room and len(run) <= 64:
-                self[run] = v
-        return found
+        self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
+
+    def _encode(self, text: str, by: Tokenizer | None = None) -> np.ndarray:
+        return np.array((by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _encode_words(self, part: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sizes and ids of words."""
+        ids = self._encode(" ".join(part), self.light)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        return [(np.diff(stop, prepend=0), ids)] if len(stop) == len(part) else list(map(self._encode_key, part))
+
+    def _encode_key(self, key: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._encode(key.removeprefix("\0"))
+        return np.array([len(ids)]), ids
+
+    def look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of distinct keys, and starts and ids as far as these need them; unknown keys are kept if there is room."""
+        numbers = np.fromiter(map(self.get, distinct, repeat(-1)), np.int64, len(distinct))
+        unknown = np.flatnonzero(numbers < 0).tolist()
+        if not unknown:
+            return numbers, self.starts, self.ids
+        words = [i for i in unknown if distinct[i].isalpha() and len(distinct[i]) <= 64]
+        rest = sorted(set(unknown).difference(words), key=lambda i: len(distinct[i]))
+        missing, first = [distinct[i] for i in words + rest], len(self)
+        done = [x for at in range(0, len(words), self.CALL) for x in self._encode_words(missing[at : min(at + self.CALL, len(words))])]
+        done += map(self._encode_key, missing[len(words) :])
+        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([n for n, _ in done]))])
+        ids = np.concatenate([self.ids, *(x for _, x in done)])
+        numbers[words + rest] = np.arange(first, first + len(missing))
+        kept = max(0, min(sum(len(k) <= 64 for k in missing), self.LIMIT - first))
+        if kept:
+            self.update(zip(missing[:kept], range(first, first + kept), strict=True))
+            self.starts = starts[: first + kept + 1].copy()
+            self.ids = ids[: self.starts[-1]].copy()
+        return numbers, starts, ids
 
     def batch(self, texts: pa.Array, kind: str = "<u4") -> Iterator[pa.Array]:
         """The ids of each text as bytes, in arrays of at most ROWS texts."""
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         numbered = lists.flatten().dictionary_encode()
-        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-        gc.disable()  # hundreds of thousands of new lists, none in a cycle
+        gc.disable()  # maybe hundreds of thousands of new lists, none in a cycle
         try:
-            found = self.runs(distinct)
+            distinct, at, counts = cut(numbered.dictionary)
+            numbers, starts, ids = self.look_up(distinct.to_numpy(zero_copy_only=False).tolist())
         finally:
             gc.enable()
-        pool = np.frombuffer(b"".join(found), "<u4").astype(kind)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        begins = np.cumsum(sizes) - sizes
+        at = numbers[at]
+        pool, ends = gather(ids, starts[at], starts[at + 1] - starts[at])
+        pool, stops = pool.astype(kind), ends[np.concatenate([[0], np.cumsum(counts)])]
+        begins, sizes = stops[:-1], np.diff(stops)
         runs = numbered.indices.to_numpy()
         stops = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
         for row in range(0, len(texts), ROWS):
             stop = stops[row : row + ROWS + 1]
             at = runs[stop[0] : stop[-1]]
-            n = sizes[at]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            ids = pool[np.repeat(begins[at] - ends[:-1], n) + np.arange(ends[-1])]
+            ids, ends = gather(pool, begins[at], sizes[at])
             offsets = (ends[stop - stop[0]] * ids.itemsize).astype(np.int32)
             yield pa.Array.from_buffers(pa.binary(), len(stop) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
 
@@ -294,6 +331,15 @@ def tokenize(docs: DataFrame, path: str, vocab: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).mapInArrow(released(run), "doc_id long, tie long, ids binary")
 
 
+def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a column one row after the other, and where each row's begin and end."""
+    column = column.cast(pa.large_binary())
+    _, offsets, raw = column.buffers()
+    stops = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    ids = np.frombuffer(raw or b"", kind, (stops[-1] - stops[0]) // np.dtype(kind).itemsize, stops[0])
+    return ids, (stops - stops[0]) // ids.itemsize
+
+
 def count_ids(ids: DataFrame, end: int, vocab: int) -> np.ndarray:
     """How often each id occurs, an end id for each row included; tasks send one count per id they saw."""
     kind = "<u2" if vocab <= 1 << 16 else "<u4"
@@ -302,13 +348,9 @@ def count_ids(ids: DataFrame, end: int, vocab: int) -> np.ndarray:
         forget_words()
         total = np.zeros(vocab, np.int64)
         for b in batches:
-            for raw in b.column("ids"):
-                x = np.frombuffer(raw.as_py(), kind)
-                if len(x) > 1 << 14:
-                    total += np.bincount(x, minlength=vocab)
-                else:
-                    at, n = np.unique(x, return_counts=True)
-                    total[at] += n
+            ids, _ = flat(b.column("ids"), kind)
+            for i in range(0, len(ids), BLOCK_IDS):
+                total += np.bincount(ids[i : i + BLOCK_IDS], minlength=vocab)
             total[end] += b.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
@@ -383,7 +425,7 @@ def read(blocks: DataFrame, code_table: DataFrame) -> DataFrame:
             for shard, first, raw in zip(b.column("shard").to_pylist(), b.column("first").to_pylist(), b.column("payload"), strict=True):
                 at, rows = start[shard] + first, []
                 for d, ids in read_block(raw.as_py(), table):
-                    rows.append((d, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((d, at, len(ids), zlib.crc32(ids.astype("<u4", copy=False))))
                     at += len(ids)
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
