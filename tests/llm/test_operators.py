@@ -4,6 +4,7 @@ import hashlib
 import html
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -489,6 +490,28 @@ def test_words_of_every_letter(limit, monkeypatch):
         assert len(w) <= limit and len(w.starts) == len(w) + 1 and w.starts[-1] == len(w.ids)
 
 
+def test_kept_keys_take_little_memory():
+    w, n = op08_tokens.Words(queries.TOKENIZER), 40_000
+    letters = np.random.default_rng(1).integers(97, 123, (n, 9), dtype=np.uint8)
+    texts = pa.array([" ".join(x.tobytes().decode() for x in part) for part in np.array_split(letters, 8)])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for row in range(len(texts)):
+        assert sum(map(len, w.batch(texts[row : row + 1]))) == 1
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(w) > 0.99 * n and held < 100 * len(w)
+
+
+def test_keys_of_equal_hash(monkeypatch):
+    monkeypatch.setattr(op08_tokens.xxhash, "xxh3_64_intdigest", len)
+    w = op08_tokens.Words(queries.TOKENIZER)
+    for texts in (["tree rain tree 12 a,b a.b"], ["snow rain 34 tree !?"], ["hail hail's 12 snow", "rain"]):
+        found = [np.frombuffer(x.as_py(), "<u4").tolist() for part in w.batch(pa.array(texts)) for x in part]
+        assert found == [w.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(set(map(len, w))) == len(w) == len(w.starts) - 1
+
+
 def test_flat_rows():
     raw = [b"ab", b"", b"cdef", b"gh"]
     for kind in (pa.binary(), pa.large_binary()):

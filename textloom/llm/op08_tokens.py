@@ -24,12 +24,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import repeat
 from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ if TYPE_CHECKING:
 
 LIMIT, EVERY, BLOCK_IDS = 16, 256, 1 << 18
 #: Bytes of text whose runs are numbered together, texts whose ids are laid out together.
-SLICE, ROWS = 8 << 20, 256
+SLICE, ROWS = 2 << 20, 256
 HEAD = struct.Struct("<4sIQIQ")
 
 
@@ -201,18 +201,18 @@ def gather(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[n
     return values[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
-class Words(dict):
-    """Numbers of keys; the ids of number n are ids[starts[n]:starts[n + 1]]. LIMIT keys are kept.
+class Words:
+    """Kept keys and their ids: key number n has ids[starts[n]:starts[n + 1]]. LIMIT keys are kept.
 
-    Texts are cut into runs, runs into keys, and both numbered by Arrow, so Python sees only the distinct keys of a batch.
-    Unknown words of a batch are encoded some thousands in a call as a text of their own, and cut where an id
-    marks a word's end.
+    Texts are cut into runs, runs into keys, and both numbered by Arrow, so Python sees only the distinct keys of a slice.
+    Keys are kept as one array beside their sorted hashes, in a third of the memory of a dict; a key found by its hash is
+    compared, and of keys with equal hashes only the first is kept. Unknown words of a slice are encoded some thousands in a
+    call as a text of their own, and cut where an id marks a word's end.
     """
 
     LIMIT, CALL = 800_000, 5_000
 
     def __init__(self, path: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -227,8 +227,15 @@ class Words(dict):
         self.size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.keys, self.hashes, self.numbers = pa.array([], pa.string()), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.starts, self.ids = np.zeros(1, np.int64), np.zeros(0, "<u4")
 
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.keys.to_pylist())
+
     def _encode(self, text: str, by: Tokenizer | None = None) -> np.ndarray:
         return np.array((by or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -242,26 +249,55 @@ class Words(dict):
         ids = self._encode(key.removeprefix("\0"))
         return np.array([len(ids)]), ids
 
-    def look_up(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of distinct keys, and starts and ids as far as these need them; unknown keys are kept if there is room."""
-        numbers = np.fromiter(map(self.get, distinct, repeat(-1)), np.int64, len(distinct))
-        unknown = np.flatnonzero(numbers < 0).tolist()
-        if not unknown:
-            return numbers, self.starts, self.ids
-        words = [i for i in unknown if distinct[i].isalpha() and len(distinct[i]) <= 64]
-        rest = sorted(set(unknown).difference(words), key=lambda i: len(distinct[i]))
-        missing, first = [distinct[i] for i in words + rest], len(self)
-        done = [x for at in range(0, len(words), self.CALL) for x in self._encode_words(missing[at : min(at + self.CALL, len(words))])]
-        done += map(self._encode_key, missing[len(words) :])
-        starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([n for n, _ in done]))])
-        ids = np.concatenate([self.ids, *(x for _, x in done)])
-        numbers[words + rest] = np.arange(first, first + len(missing))
-        kept = max(0, min(sum(len(k) <= 64 for k in missing), self.LIMIT - first))
-        if kept:
-            self.update(zip(missing[:kept], range(first, first + kept), strict=True))
-            self.starts = starts[: first + kept + 1].copy()
-            self.ids = ids[: self.starts[-1]].copy()
-        return numbers, starts, ids
+    def find(self, distinct: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of keys, -1 for unknown ones, and whether another kept key has the key's hash."""
+        at = np.searchsorted(self.hashes, hashes)
+        hit = np.flatnonzero(at < len(self))
+        hit = hit[self.hashes[at[hit]] == hashes[hit]]
+        numbers, taken = np.full(len(hashes), -1), np.zeros(len(hashes), bool)
+        found = self.numbers[at[hit]]
+        equal = pc.equal(self.keys.take(pa.array(found)), distinct.take(pa.array(hit))).to_numpy(zero_copy_only=False)
+        numbers[hit[equal]], taken[hit[~equal]] = found[equal], True
+        return numbers, taken
+
+    def keep(self, new: pa.Array, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.numbers = np.insert(self.numbers, at, len(self) + order)
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.keys = pa.concat_arrays([self.keys, new])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def look_up(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of distinct keys begin, how many they are, and the ids; unknown keys are kept if there is room."""
+        names = distinct.to_numpy(zero_copy_only=False).tolist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+        numbers, odd = self.find(distinct, hashes)
+        known, unknown = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+        begins, sizes = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        at = numbers[known]
+        sizes[known] = self.starts[at + 1] - self.starts[at]
+        ids, ends = gather(self.ids, self.starts[at], sizes[known])
+        begins[known] = ends[:-1]
+        if not len(unknown):
+            return begins, sizes, ids
+        again = np.ones(len(unknown), bool)
+        again[np.unique(hashes[unknown], return_index=True)[1]] = False
+        odd[unknown] |= again | (pc.utf8_length(distinct).to_numpy()[unknown] > 64)
+        plain = [i for i in unknown.tolist() if not odd[i] and names[i].isalpha()]
+        rest = sorted(set(unknown.tolist()).difference(plain), key=lambda i: (odd[i], i))
+        missing, order = [names[i] for i in plain], np.array(plain + rest)
+        done = [x for at in range(0, len(missing), self.CALL) for x in self._encode_words(missing[at : at + self.CALL])]
+        done += [self._encode_key(names[i]) for i in rest]
+        sizes[order] = np.concatenate([n for n, _ in done])
+        new = np.concatenate([x for _, x in done])
+        stops = np.cumsum(sizes[order])
+        begins[order] = len(ids) + stops - sizes[order]
+        if kept := max(0, min(int((~odd[order]).sum()), self.LIMIT - len(self))):
+            first = order[:kept]
+            self.keep(distinct.take(pa.array(first)), hashes[first], sizes[first], new[: stops[kept - 1]])
+        return begins, sizes, np.concatenate([ids, new])
 
     def batch(self, texts: pa.Array, kind: str = "<u4") -> Iterator[pa.Array]:
         """The ids of each text as bytes, in arrays of at most ROWS texts."""
@@ -270,11 +306,10 @@ class Words(dict):
         gc.disable()  # maybe hundreds of thousands of new lists, none in a cycle
         try:
             distinct, at, counts = cut(numbered.dictionary)
-            numbers, starts, ids = self.look_up(distinct.to_numpy(zero_copy_only=False).tolist())
+            begins, sizes, ids = self.look_up(distinct)
         finally:
             gc.enable()
-        at = numbers[at]
-        pool, ends = gather(ids, starts[at], starts[at + 1] - starts[at])
+        pool, ends = gather(ids, begins[at], sizes[at])
         pool, stops = pool.astype(kind), ends[np.concatenate([[0], np.cumsum(counts)])]
         begins, sizes = stops[:-1], np.diff(stops)
         runs = numbered.indices.to_numpy()
