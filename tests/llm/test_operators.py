@@ -643,6 +643,22 @@ def test_every_word_of_a_repeat_stays_somewhere(spark):
     assert sum(c in (t or "") for t in kept) == 1 and sum((t or "").count(d) for t in kept) == 1 and sum((t or "").count(c) for t in kept) == 1
 
 
+def test_places_are_held_in_parts(monkeypatch):
+    words = [b"%d" % i for i in range(300)]
+    text, places = b" ".join(words).decode(), [{"at": i, "side": i % 2} for i in range(300)]
+    spans = [{"island": 1, "doc": 2, "first": 50, "end": 290}, {"island": 2, "doc": 2, "first": 3, "end": 10}]
+    monkeypatch.setattr(op10_substrings, "HELD", 100, raising=False)
+    found = list(op10_substrings._beside([pa.RecordBatch.from_pylist([{"row": 7, "text": text, "places": places}, {"row": 8, "text": None, "places": places[:1]}])]))
+    assert max(b.num_rows for b in found) <= 100 // op10_substrings.BESIDE
+    want = [(7, i, i % 2, words[i : i + 36] if i % 2 else words[max(0, i - 36) : i][::-1]) for i in range(300)] + [(8, 0, 0, [])]
+    assert [tuple(r.values()) for b in found for r in b.to_pylist()] == want
+    found = list(op10_substrings._windows(48)([pa.RecordBatch.from_pylist([{"row": 7, "text": text, "places": spans}])]))
+    assert max(b.num_rows for b in found) <= 100
+    digest = lambda k: xxhash.xxh3_64_intdigest(b" ".join(words[k : k + 48]))
+    want = [(7, 1, 2, k, digest(k)) for k in range(14, 253)]
+    assert [(r["row"], r["island"], r["doc"], r["at"], r["window"] % 2**64) for b in found for r in b.to_pylist()] == want
+
+
 def test_passages_over_several_partners(spark):
     """Two pieces from different places aren't a passage; a passage whose pieces stand in earlier texts is one where two later texts share it."""
     rng = np.random.default_rng(3)

@@ -36,13 +36,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch
+from textloom.llm.common import Scratch, released
 
 VIEW, RUN_WORDS, SPAN_WORDS = 12, 20, 48
 #: These bits of the hash depend on 16 bytes.
 CUT_MASK = 0xFFFF
 #: Words beside a stretch that may belong to the passage.
 BESIDE = 3 * VIEW
+#: Words or windows that a task holds as Python objects.
+HELD = 100_000
 GEAR = np.random.default_rng(20240613).integers(0, 2**32, 256, dtype=np.uint32)
 #: Stands for a null id, which comes last.
 LAST = (1 << 63) - 1
@@ -156,15 +158,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield of(*held)
 
 
+def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[dict]]]:
+    """Row, words and places of each text of a batch, one text at a time."""
+    for d, t, places in zip(b.column("row"), b.column("text").cast(pa.binary()), b.column("places"), strict=True):
+        yield d.as_py(), (t.as_py() or b"").split(), places.as_py()
+
+
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, at, side, words): the words before (side 0, nearest first) or after (side 1) each place of a text."""
+
+    def batch(out: list) -> pa.RecordBatch:
+        row, at, side, near = list(zip(*out, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(near, pa.list_(pa.binary()))], ["row", "at", "side", "words"])
+
     for b in batches:
         out = []
-        for d, t, places in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()), b.column("places").to_pylist(), strict=True):
-            words = (t.as_py() or b"").split()
-            out += [(d, p["at"], p["side"], words[p["at"] : p["at"] + BESIDE] if p["side"] else words[max(0, p["at"] - BESIDE) : p["at"]][::-1]) for p in places]
-        row, at, side, near = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(side, pa.int32()), pa.array(near, pa.list_(pa.binary()))], ["row", "at", "side", "words"])
+        for d, words, places in _texts(b):
+            for p in places:
+                out.append((d, p["at"], p["side"], words[p["at"] : p["at"] + BESIDE] if p["side"] else words[max(0, p["at"] - BESIDE) : p["at"]][::-1]))
+                if len(out) >= HELD // BESIDE:
+                    yield batch(out)
+                    out = []
+        yield batch(out)
 
 
 def _windows(n: int):
@@ -179,14 +194,16 @@ def _windows(n: int):
 
         for b in batches:
             out = []
-            for d, t, places in zip(b.column("row").to_pylist(), b.column("text").cast(pa.binary()), b.column("places").to_pylist(), strict=True):
-                words = (t.as_py() or b"").split()
+            for d, words, places in _texts(b):
                 for p in places:
-                    low, high = max(0, p["first"] - BESIDE), min(len(words), p["end"] + BESIDE)
-                    out += [(d, p["island"], p["doc"], k, digest(b" ".join(words[k : k + n]))) for k in range(low, high - n + 1)]
-                    if len(out) > 100_000:
-                        yield batch(out)
-                        out = []
+                    low, high = max(0, p["first"] - BESIDE), min(len(words), p["end"] + BESIDE) - n + 1
+                    while low < high:
+                        stop = min(high, low + HELD - len(out))
+                        out += [(d, p["island"], p["doc"], k, digest(b" ".join(words[k : k + n]))) for k in range(low, stop)]
+                        low = stop
+                        if len(out) >= HELD:
+                            yield batch(out)
+                            out = []
             yield batch(out)
 
     return of
@@ -197,7 +214,7 @@ def _settled(docs: DataFrame, spans: DataFrame, span_words: int, scratch: Scratc
     again. ``again`` if an earlier place holds them too, wfirst being that of the first place's text."""
     places = spans.groupBy("row").agg(F.collect_list(F.struct("island", "doc", "first", "end")).alias("places"))
     texts = docs.select(_row(), "text").join(scratch.save(places, "unsettled"), "row")
-    found = scratch.save(texts.mapInArrow(_windows(span_words), "row long, island long, doc long, at int, window long"), "windows")
+    found = scratch.save(texts.mapInArrow(released(_windows(span_words)), "row long, island long, doc long, at int, window long"), "windows")
     # equal texts repeat places, and two places differ in this hash
     place = F.xxhash64("row", "at")
     held = found.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min(F.struct("doc", "row", "at")).alias("lead")).filter("a <> z")
@@ -225,7 +242,7 @@ def _grown(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
     places = ends.select("row", "at", "side").union(ends.select("prow", "pat", "side")).distinct()
     places = places.groupBy("row").agg(F.collect_list(F.struct("at", "side")).alias("places"))
     texts = docs.select(_row(), "text").join(scratch.save(places, "places"), "row")
-    words = texts.mapInArrow(_beside, "row long, at int, side int, words array<binary>").dropDuplicates(["row", "at", "side"])
+    words = texts.mapInArrow(released(_beside), "row long, at int, side int, words array<binary>").dropDuplicates(["row", "at", "side"])
     words = scratch.save(words, "words")
     own = words.withColumnRenamed("words", "own")
     theirs = words.select(F.col("row").alias("prow"), F.col("at").alias("pat"), "side", F.col("words").alias("theirs"))
@@ -246,7 +263,7 @@ def repeats(docs: DataFrame, scratch: Scratch, span_words: int = SPAN_WORDS) ->
     equal in id and text are one document, and so are those of one text without ids; null and empty texts have no chunks.
     """
     slim = docs.select("doc_id", "text")
-    found = scratch.save(slim.select(_row(), "doc_id", "text").mapInArrow(_rows, "digest long, row long, doc_id long, first int, size int"), "chunks")
+    found = scratch.save(slim.select(_row(), "doc_id", "text").mapInArrow(released(_rows), "digest long, row long, doc_id long, first int, size int"), "chunks")
     ids = scratch.save(found.filter("digest is null").groupBy("row", "doc_id").agg(F.max("first").alias("n")), "ids")
     lead = scratch.save(ids.groupBy("row").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("docs"), F.max("n").alias("n")), "lead")
     chunk = found.filter("digest is not null").select("digest", "row", "first", "size")
@@ -256,7 +273,7 @@ def repeats(docs: DataFrame, scratch: Scratch, span_words: int = SPAN_WORDS) ->
     marked = chunk.join(scratch.save(again, "digests"), "digest", "left_semi").repartition("row")
     doc = F.coalesce("keeper", F.lit(LAST)).alias("doc")
     marked = marked.join(lead.select("row", doc), "row").sortWithinPartitions("row", "first")
-    run = scratch.save(marked.mapInArrow(_runs, "run long, doc long, row long, first int, end int"), "runs")
+    run = scratch.save(marked.mapInArrow(released(_runs), "run long, doc long, row long, first int, end int"), "runs")
     scratch.drop(found)
     place = F.struct("doc", "row", "first")
     held = run.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("lead"), F.max(place).alias("tail")).filter("n > 1")
