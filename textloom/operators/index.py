@@ -91,34 +91,36 @@ def _by_weight() -> Window:
 def champions(tf: DataFrame, r: int = 32) -> DataFrame:
     """(term, rank, doc_id): the r postings of most weight, ties to the larger doc_id.
 
-    The rank filter becomes a partial and a final group limit, so at most r rows per term and
-    input partition are shuffled.
+    Rows are dealt by term before they are sorted, so that a task sorts what AQE puts into a partition and not
+    what a file split holds, whose rows grow with the table until a split is full.
     """
-    ranked = tf.withColumn("rank", F.row_number().over(_by_weight()))
+    ranked = tf.select("term", "doc_id", "tf").repartition("term").withColumn("rank", F.row_number().over(_by_weight()))
     return ranked.filter(F.col("rank") <= r).select("term", "rank", "doc_id")
 
 
 def tiers(tf: DataFrame, sizes: tuple[int, ...] = (16, 64)) -> DataFrame:
     """(term, tier, doc_id): tier i holds the next sizes[i] postings by weight, the last tier the rest.
 
-    Only the first sum(sizes) ranks are needed, so ranking is a group limit as for champions; the rest
-    of a term is joined on (term, doc_id), which spreads a hot term over tasks.
+    One shuffle and one sort rank all rows; a task streams the ranks of a term, whose rows are one per document at most.
     """
     sizes = tuple(sizes) or (16, 64)
     tier, upto = F.lit(len(sizes)), sum(sizes)
-    ranked = tf.withColumn("rank", F.row_number().over(_by_weight())).filter(F.col("rank") <= upto)
+    ranked = tf.select("term", "doc_id", "tf").withColumn("rank", F.row_number().over(_by_weight()))
     for i in reversed(range(len(sizes))):
         tier = F.when(F.col("rank") <= upto, F.lit(i)).otherwise(tier)
         upto -= sizes[i]
-    return tf.select("term", "doc_id").join(ranked.select("term", "doc_id", "rank"), ["term", "doc_id"], "left").select("term", tier.alias("tier"), "doc_id")
+    return ranked.select("term", tier.alias("tier"), "doc_id")
 
 
-def write_table(df: DataFrame, path: str, key: str) -> None:
-    """Range-partitioned and sorted by key, with a Parquet bloom filter on it; a key of many rows spans partitions
-    where the table has a doc_id."""
-    by = [key, *[c for c in ("doc_id",) if c in df.columns and c != key]]
+def write_table(df: DataFrame, path: str, key: str, dealt: bool = False) -> None:
+    """Dealt by key and sorted by it, with a Parquet bloom filter on it; AQE splits the rows of a hot key over files.
+
+    Dealing needs no sample, for which a range partitioning would compute the table twice. A table that is dealt
+    by key already stays as it is.
+    """
+    by = [key, *[c for c in ("doc_id",) if c in df.columns and c != key and not dealt]]
     (
-        df.repartitionByRange(*by)
+        (df if dealt else df.hint("rebalance", key))
         .sortWithinPartitions(*by)
         .write.mode("overwrite")
         .option(f"parquet.bloom.filter.enabled#{key}", "true")
