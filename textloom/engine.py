@@ -2,7 +2,7 @@
 
 A saved engine is a folder of generations, the largest one with a _DONE file being current:
 
-    <path>/gen-<n>/{docs,postings,vocab,grams,norms,champions,tiers,corpus_stats}    written by save, compact
+    <path>/gen-<n>/{docs,postings,vocab,grams,norms,champions,tiers,corpus_stats}    written by save, compact; derived ones also by derive
     <path>/gen-<n>/delta-<m>/{postings,docs}    documents added since; docs are written last and complete it
 """
 
@@ -20,7 +20,9 @@ from textloom.operators import index as ix
 from textloom.operators.kv import _Folder
 from textloom.sources import textdir
 
-DERIVED = ("vocab", "grams", "norms", "champions", "tiers", "corpus_stats")
+#: The derived tables in the order in which they are written, and their keys.
+KEYS = {"vocab": "term", "grams": "gram", "norms": "doc_id", "champions": "term", "tiers": "term", "corpus_stats": None}
+DERIVED = tuple(KEYS)
 
 
 class Engine:
@@ -55,8 +57,9 @@ class Engine:
     def _added(files: _Folder) -> list[str]:
         return [p for p in files._children(files._dir()) if re.search(r"/delta-\d+$", p) and files._exists(f"{p}/docs/_SUCCESS")]
 
-    def save(self, path: str) -> Engine:
-        """Write docs and the derived tables, sorted by key, as the next generation below the path; the returned engine reads them."""
+    def save(self, path: str, tables: tuple[str, ...] = DERIVED) -> Engine:
+        """Write docs, postings and the derived tables, sorted by key, as the next generation below the path; the returned engine
+        reads them. Derived tables that are not asked for can be written later, by ``derive``."""
         files = _Folder(self.spark, path)
         fresh = not files._exists(f"{files._dir()}/docs")
         new = files._dir() if fresh else f"{files.path}/gen-{files.gen + 1}"
@@ -65,16 +68,30 @@ class Engine:
         ix.write_table(self.postings if self.path else out.postings, f"{new}/postings", "term")
         out.__dict__["postings"] = self.spark.read.parquet(f"{new}/postings")
         out.__dict__["tf"] = out.postings.select("term", "doc_id", "tf")
-        ix.write_table(out.vocab, f"{new}/vocab", "term")
-        out.__dict__["vocab"] = self.spark.read.parquet(f"{new}/vocab")
-        for name, key in (("grams", "gram"), ("norms", "doc_id"), ("champions", "term"), ("tiers", "term")):
-            ix.write_table(getattr(out, name), f"{new}/{name}", key)
-        out.corpus_stats.coalesce(1).write.mode("overwrite").parquet(f"{new}/corpus_stats")
+        for name in DERIVED:
+            if name in tables:
+                out._write(name, new)
         files.fs.create(files._path(f"{new}/_DONE"), True).close()
         if not fresh:
             files.fs.delete(files._path(files._dir()), True)
         return Engine.load(self.spark, path, self.profile, r=self.r, sizes=self.sizes, folders=self.folders)
 
+    def _write(self, name: str, folder: str) -> None:
+        """Write a derived table into a generation's folder and read it from there."""
+        if KEYS[name]:
+            ix.write_table(getattr(self, name), f"{folder}/{name}", KEYS[name], dealt=name == "tiers")
+        else:
+            getattr(self, name).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{name}")
+        self.__dict__[name] = self.spark.read.parquet(f"{folder}/{name}")
+
+    def derive(self, *names: str) -> Engine:
+        """This saved engine with the derived tables written that it lacks; while it has deltas, none are."""
+        need = {*names, *(("vocab",) if {"grams", "norms", "corpus_stats"} & {*names} else ())}
+        for name in DERIVED if self.path and not self._deltas else ():
+            if name in need and self._table(name) is None:
+                self._write(name, self._files._dir())
+        return self
+
     @cached_property
     def _files(self) -> _Folder | None:
         return _Folder(self.spark, self.path) if self.path else None
@@ -84,8 +101,8 @@ class Engine:
         return self._added(self._files) if self.path else []
 
     def _table(self, name: str) -> DataFrame | None:
-        """A saved table; derived ones count only while nothing has been added to them."""
-        if not self.path or (name in DERIVED and self._deltas):
+        """A saved table; derived ones count only if they were written, and while nothing has been added to them."""
+        if not self.path or (name in DERIVED and (self._deltas or not self._files._exists(f"{self._files._dir()}/{name}/_SUCCESS"))):
             return None
         return self.spark.read.parquet(f"{self._files._dir()}/{name}")
 
