@@ -29,10 +29,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 _ENGINES: dict[tuple, Engine] = {}
 
 
-def engine(spark: SparkSession, d: str, profile: str = "surface") -> Engine:
+def engine(spark: SparkSession, d: str, profile: str = "surface", *tables: str) -> Engine:
     """The saved engine over a folder's documents: built once a session from the whole table, again if its files change.
 
-    Queries are about the index, as they are for users; ``index_build`` is the query that makes one.
+    Queries are about the index, as they are for users; ``index_build`` is the query that makes all of one. Of the derived
+    tables those are written, once a session, that a query names.
     """
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
@@ -41,8 +42,8 @@ def engine(spark: SparkSession, d: str, profile: str = "surface") -> Engine:
     key = (sc.applicationId, profile, d, status.getModificationTime(), fs.getContentSummary(p).getLength())
     if key not in _ENGINES:
         scratch = Scratch(spark)
-        _ENGINES[key] = Engine(spark, _docs(spark, d), profile).save(scratch.path("engine"))
-    return _ENGINES[key]
+        _ENGINES[key] = Engine(spark, _docs(spark, d), profile).save(scratch.path("engine"), ())
+    return _ENGINES[key].derive(*tables)
 
 
 def _dated(spark: SparkSession, d: str) -> DataFrame:
@@ -66,11 +67,11 @@ def _tf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _vocab(spark: SparkSession, d: str) -> DataFrame:
-    return engine(spark, d).vocab
+    return engine(spark, d, "surface", "vocab").vocab
 
 
 def _norms(spark: SparkSession, d: str) -> DataFrame:
-    return engine(spark, d).norms
+    return engine(spark, d, "surface", "norms").norms
 
 
 def _built(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +133,7 @@ def _bool(expr: str, dated: bool = False, profile: str = "surface") -> Callable[
 
 def _ranked(exact: bool, text: str, r: int = 32) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        e = engine(spark, d)
+        e = engine(spark, d, "surface", "norms", *(() if exact else ("champions", "tiers")))
         out = ranked.top_exact(e.tf, e.norms, e.n_docs, text, TOP) if exact else ranked.top_inexact(e.tf, e.norms, e.n_docs, text, TOP, r, LEVELS, "surface", e.champions, e.tiers)
         return out.withColumn("score", F.round("score", 6))
 
@@ -140,7 +141,7 @@ def _ranked(exact: bool, text: str, r: int = 32) -> Callable[[SparkSession, str]
 
 
 def _stemmed(s: SparkSession, d: str) -> DataFrame:
-    return engine(s, d, "stemmed").vocab.select("term", "df")
+    return engine(s, d, "stemmed", "vocab").vocab.select("term", "df")
 
 
 def _positional(s: SparkSession, d: str) -> DataFrame:
@@ -187,9 +188,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prefix_docs": lambda s, d: search.prefix_docs(_tf(s, d), "Tiona"),
     "prefix_terms": lambda s, d: search.prefix_terms(_vocab(s, d), "tiona"),
     "wildcard_middle": lambda s, d: search.wildcard_docs(_tf(s, d), "th*ble"),
-    "wildcard_suffix": lambda s, d: search.wildcard_terms(_vocab(s, d), "*ingtion", None, engine(s, d).grams),
+    "wildcard_suffix": lambda s, d: search.wildcard_terms(_vocab(s, d), "*ingtion", None, engine(s, d, "surface", "grams").grams),
     "wildcard_short_no_gram": lambda s, d: search.wildcard_terms(_vocab(s, d), "t*g"),
-    "kgram_index": lambda s, d: engine(s, d).grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_terms")),
+    "kgram_index": lambda s, d: engine(s, d, "surface", "grams").grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n_terms")),
     "date_range": lambda s, d: _dated(s, d).filter(dates.date_range("20200301", "20200430")).select("doc_id"),
     "date_exact": lambda s, d: _dated(s, d).filter(F.col("date") == "20200315").select("doc_id"),
     "appeared_range": lambda s, d: _dated(s, d).filter(dates.appeared("20200301", "20200430")).select("doc_id"),
@@ -203,8 +204,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ranked_exact": _ranked(True, RANKED),
     "ranked_inexact": _ranked(False, RANKED),
     "ranked_inexact_topup": _ranked(False, LOW_DF, SMALL_R - 3),
-    "champions_saved": lambda s, d: engine(s, d).champions.select("term", "rank", "doc_id"),
-    "corpus_stats": lambda s, d: engine(s, d).corpus_stats,
+    "champions_saved": lambda s, d: engine(s, d, "surface", "champions").champions.select("term", "rank", "doc_id"),
+    "corpus_stats": lambda s, d: engine(s, d, "surface", "corpus_stats").corpus_stats,
     "positional_merge": _rejoined,
     "merge_compaction": _merging,
     "streamed_postings": _streamed,
