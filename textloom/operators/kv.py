@@ -120,9 +120,9 @@ class _Folder:
         rows.write.option("parquet.bloom.filter.enabled#key", "true").mode("overwrite").parquet(name)
 
     def _next(self, view: DataFrame, delta: str) -> None:
-        """Write the view as the next generation, make it current, delete the others."""
+        """Write the view, each partition sorted by key, as the next generation, make it current, delete the others."""
         new = f"{self.path}/gen-{self.gen + 1}"
-        self._put(view.repartitionByRange("key").sortWithinPartitions("key"), f"{new}/{delta}")
+        self._put(view.sortWithinPartitions("key"), f"{new}/{delta}")
         self.fs.create(self._path(f"{new}/_DONE"), True).close()
         self.gen += 1
         for p in self._children(self.path):
@@ -210,7 +210,7 @@ class Store(_Folder):
 
     def compact(self) -> None:
         self.flush()
-        self._next(current(self._log()).select("key", "value", "seq", F.lit(False).alias("is_delete")), f"delta-{self.seq:020d}")
+        self._next(current(self._log()).select("key", "value", "seq", F.lit(False).alias("is_delete")).repartitionByRange("key"), f"delta-{self.seq:020d}")
 
 
 class MergingStore(_Folder):
@@ -239,7 +239,7 @@ class MergingStore(_Folder):
 
     def append(self, rows: DataFrame) -> None:
         """Bulk put of (key, member) rows."""
-        self._put(merge_members(rows).repartitionByRange("key").sortWithinPartitions("key"), self._name())
+        self._put(merge_members(rows).sortWithinPartitions("key"), self._name())
 
     def flush(self) -> None:
         if self.pending:
